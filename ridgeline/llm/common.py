@@ -142,13 +142,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words_of(data, offsets)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, inside_of: np.ndarray = _IS_WORD, byte: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = data.size
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(offsets.size, np.int64)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = inside_of[data]
     turn = inside[1:] != inside[:-1]
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < n)]
@@ -160,7 +160,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     power, inverse = _powers(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    np.cumsum(byte[data] * power[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -183,6 +183,17 @@ def shingles(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
     return x, out
 
 
+#: Up to so many ids (about 16 bytes each) are broadcast to pick or drop their rows; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of `docs` that have (left_semi) or lack (left_anti) their key among the one column of `ids`. Rows with a null key lack it."""
+    ids = ids.toDF("_id_").distinct()
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return docs.join(ids, docs[key] == ids["_id_"], how)
+
+
 def lowered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the lower-cased text: what the hashing operators read. `docs` may have any other columns."""
     return docs.select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("text"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, lowered, mix, pieces, shared_dir, shingles, text_buffer, words
+from ridgeline.llm.common import Work, by_ids, lowered, mix, pieces, shared_dir, shingles, text_buffer, words
 from ridgeline.llm.components import components
 
 _DOC_BITS = 20
@@ -108,16 +108,10 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(sim[ok])], ["a", "b", "similarity"])
 
 
-#: Up to so many ids (about 16 bytes each) the texts to compare are picked by a broadcast; beyond, by a shuffle.
-BROADCAST_IDS = 4_000_000
-
-
-def with_texts(pairs: DataFrame, texts: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b) of pairs (a, b), a written table. Only texts that some pair needs are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = ids.count()
-    ids = F.broadcast(ids) if n <= broadcast_ids else ids
-    some = texts.join(ids, texts.doc_id == ids.id, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    some = by_ids(texts, ids, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     t = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return t.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 

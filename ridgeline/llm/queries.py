@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontamination, near_dedup, token_counts, url_filters
+from ridgeline.llm import decontamination, near_dedup, quality, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass, with their scores."""
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).where("keep").select("doc_id", "score")
+
+
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op3_decontamination, op9_probminhash, op10_url_filters]
+    own = [op1_token_counts, op3_decontamination, op7_quality, op9_probminhash, op10_url_filters]
     return {f.__name__: f for f in own}
 
 

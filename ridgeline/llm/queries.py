@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontamination, near_dedup, quality, token_counts, url_filters
+from ridgeline.llm import decontamination, lm_scoring, near_dedup, quality, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).where("keep").select("doc_id", "score")
 
 
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -35,9 +39,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op3_decontamination, op7_quality, op9_probminhash, op10_url_filters]
+    own = [op1_token_counts, op3_decontamination, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": url_filters.url_filter_sql()}
+    return {"op8_cross_entropy": lm_scoring.cross_entropy_difference_sql(), "op10_url_filters": url_filters.url_filter_sql()}

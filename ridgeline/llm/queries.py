@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontamination, lm_scoring, near_dedup, quality, token_counts, url_filters
+from ridgeline.llm import decontamination, lm_scoring, mixing, near_dedup, quality, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "mix_source", "mix_repeats")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass, with their scores."""
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).where("keep").select("doc_id", "score")
@@ -39,7 +43,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op3_decontamination, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
+    own = [op1_token_counts, op3_decontamination, op4_mixing, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
     return {f.__name__: f for f in own}
 
 

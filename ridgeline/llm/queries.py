@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontamination, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filters
+from ridgeline.llm import ann, decontamination, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "mix_source", "mix_repeats")
 
 
+def op5_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(_read(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -47,7 +51,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op3_decontamination, op4_mixing, op6_chaining, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
+    own = [op1_token_counts, op3_decontamination, op4_mixing, op5_ivfpq, op6_chaining, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
     return {f.__name__: f for f in own}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import ann, decontamination, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filters
+from ridgeline.llm import ann, decontamination, html_extraction, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -51,7 +55,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op3_decontamination, op4_mixing, op5_ivfpq, op6_chaining, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
+    own = [op1_token_counts, op2_html_lstm, op3_decontamination, op4_mixing, op5_ivfpq, op6_chaining, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
     return {f.__name__: f for f in own}
 
 

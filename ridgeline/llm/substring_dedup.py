@@ -65,6 +65,14 @@ def _seeds(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[p
         seed, doc, pos = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((pos, doc, seed))
         seed, doc, pos = seed[order], doc[order], pos[order]
+        again = np.zeros(seed.size, bool)  # text that repeats itself at once: its occurrences are numbered, so that each matches its like
+        again[1:] = (seed[1:] == seed[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] - pos[:-1] <= 2 * window)
+        if again.any():
+            index = np.arange(seed.size)
+            number = index - np.maximum.accumulate(np.where(again, 0, index))
+            seed = np.where(again, mix(seed + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 33), seed)
+            order = np.lexsort((pos, doc, seed))
+            seed, doc, pos = seed[order], doc[order], pos[order]
         first = np.concatenate([[True], seed[1:] != seed[:-1]]) if seed.size else np.zeros(0, bool)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1] if seed.size else np.zeros(0, int)
         key = np.where(first, seed, mix(seed + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + pos.astype(np.uint64), 32))
@@ -119,8 +127,9 @@ def chains(pb: np.ndarray, pa_: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def _chain(batches: Iterator[pa.RecordBatch], k: int, slack: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Chains of matches that come in the order of (b, a, pb, pa); only those in a stretch of b of about `least` words or more."""
+def _chain(batches: Iterator[pa.RecordBatch], k: int, window: int, slack: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Chains of matches that come in the order of (b, a, pb, pa); only those in a stretch of b of about `least` words or more,
+    and of these not those that lie within others in which at least 0.4 of the expected seeds match."""
     held: list[np.ndarray] = []
 
     def groups(m: np.ndarray) -> pa.RecordBatch:
@@ -138,7 +147,13 @@ def _chain(batches: Iterator[pa.RecordBatch], k: int, slack: int, least: int) ->
                     end = max(end, own[j][3])
                     j += 1
                 if end - own[i][2] >= least:
-                    rows.extend(own[i:j])
+                    lo = own[i][2]
+                    covered = np.zeros(end - lo, bool)
+                    for r in sorted(own[i:j], key=lambda r: (r[2] - r[3], r[2], r[1])):
+                        part = covered[r[2] - lo : r[3] - lo]
+                        if not part.all():  # a chain within ones that are dense in seeds adds nothing
+                            rows.append(r)
+                            part |= r[5]
                 i = j
             own.clear()
 
@@ -152,7 +167,7 @@ def _chain(batches: Iterator[pa.RecordBatch], k: int, slack: int, least: int) ->
                 x, d = pb[c], pb[c] - pa_[c]
                 turn = np.flatnonzero(np.diff(d)) + 1
                 start, stop = np.append(0, turn), np.append(turn, len(c)) - 1
-                own.append((b, a, int(x[0]), int(x[-1]) + k, np.stack([x[start], x[stop] + k, d[start]], 1).ravel().tolist()))
+                own.append((b, a, int(x[0]), int(x[-1]) + k, np.stack([x[start], x[stop] + k, d[start]], 1).ravel().tolist(), len(c) * (window + 1) >= 0.8 * (int(x[-1]) + k - int(x[0]))))
         flush()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.int32()))], ["b", "a", "parts"])
 
@@ -268,7 +283,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     found = seeds.select("b", "pb", F.coalesce("a", F.first("b").over(order)).alias("a"), F.coalesce("pa", F.first("pb").over(order)).alias("pa")).where("a <> b")
     found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa").select("b", "a", "pb", "pa")
     near = least - 2 * (k + window - 1)  # seeds may begin and end so much later and earlier than a passage
-    chained = work.table(found.mapInArrow(lambda it: _chain(it, k, slack + 2 * window, max(k, near)), "b long, a long, parts array<int>"))
+    chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 2 * window, max(k, near)), "b long, a long, parts array<int>"))
     some = by_ids(texts, chained.select(F.explode(F.array("a", "b"))), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     pairs = chained.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     pairs = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("b", "a", "parts", "text_b", "text_a", F.xxhash64("text_b").alias("hash_b"))

@@ -163,3 +163,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.4, sampl
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(lambda it: _score(it, shared.value), "doc_id long, score double")
     return scored.select("doc_id", F.round("score", 6).alias("score"), F.coalesce(F.col("score") >= least, F.lit(False)).alias("keep"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, least: float = 0.4, sample: int = 4096, **fitting) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `quality_scores` keeps; each row is judged by its own text, in place, without a join.
+    Rows with a null doc_id go. Columns' names don't matter but for doc_id and text; a column named _keep_ is dropped."""
+    model = fit(docs, labels, sample, **fitting)
+    docs = docs.drop("_keep_").where("doc_id IS NOT NULL")
+    if model is None:
+        return docs.where(F.length(F.trim("text")) > 0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch):
+                s = shared.value.scores(*text_buffer(b.column(at)))
+                yield b.filter(pa.array(np.nan_to_num(s, nan=-1.0) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm import ann, decontamination, html_extraction, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filters
@@ -56,7 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_token_counts, op2_html_lstm, op3_decontamination, op4_mixing, op5_ivfpq, op6_chaining, op7_quality, op8_cross_entropy, op9_probminhash, op10_url_filters]
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

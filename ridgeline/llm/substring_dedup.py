@@ -295,3 +295,24 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     out = out.where(F.col("end_word") - F.col("first_word") >= least).select(F.col("b").alias("doc_id"), "first_word", "end_word", "first_byte", "end_byte", "source_id", "text_hash").checkpoint()
     work.drop()
     return out
+
+
+def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """The rows of `docs` with the passages cut out of their texts (a blank in their stead), and n_chars, if there is such a column, anew.
+    Rows without passages stay as they are, nulls included; those with no word left go. Rows with another text than the passages' stay, too."""
+    cuts = passages.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("_cuts")).select(F.col("doc_id").alias("_id"), "text_hash", "_cuts")
+    work = Work(docs.sparkSession)
+    cuts = work.table(cuts).checkpoint()
+    work.drop()
+    n = cuts.count()
+    whole = by_ids(docs, cuts.select("_id"), "left_anti")
+    some = by_ids(docs, cuts.select("_id"), "left_semi")
+    some = some.join(F.broadcast(cuts) if n <= 100_000 else cuts, (some["doc_id"] == cuts["_id"]) & (F.xxhash64(some["text"]) == cuts["text_hash"]), "left")
+    raw = F.encode("text", "utf-8")
+    bounds = F.concat(F.transform("_cuts", lambda c: c["first_byte"]), F.array(F.octet_length("text").cast("long")))
+    kept = F.transform(bounds, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.col("_cuts")[i - 1]["end_byte"]).cast("int").alias("s"), e.cast("int").alias("e")))
+    pieces_ = F.transform(kept, lambda p: F.trim(F.decode(F.substring(raw, p["s"] + 1, p["e"] - p["s"]), "utf-8")))
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces_, lambda p: F.length(p) > 0), " "))
+    some = some.withColumn("_t", text).where(F.col("_cuts").isNull() | F.col("_t").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+    columns = [F.col("_t").alias(c) if c == "text" else F.when(F.col("_cuts").isNull(), F.col(c)).otherwise(F.length("_t")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return whole.unionByName(some.select(*columns))

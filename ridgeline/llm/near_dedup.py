@@ -125,7 +125,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4,
     one component by then, so that a band's pairs are all settled and copies in their thousands cost thousands of comparisons.
 
     Null or empty texts, and those without words, are in no group; texts of fewer than k words are one shingle. Rows with a null doc_id can't be named and
-    are left out; rows that repeat a doc_id are one document, never a copy of itself (with several texts, it joins the groups of all).
+    are left out; rows that repeat a doc_id are one document, never a copy of itself: exact copies of any of its texts
+    join it, and near copies are compared with the least of its texts in order.
     An empty table gives no rows. Other columns aren't read.
     """
     spark = docs.sparkSession

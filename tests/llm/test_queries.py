@@ -1,0 +1,23 @@
+import duckdb
+import pytest
+
+from ridgeline.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same(spark, name):
+    df = queries.queries()[name](spark, SF)
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall(), key=repr)
+    assert got == want
+
+
+def test_all_are_there():
+    names = list(queries.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]

@@ -31,7 +31,11 @@ def surface(spans: DataFrame, docs: DataFrame, lower: bool = True) -> DataFrame:
 def _grams(c: Column, lo: int, hi: int) -> Column:
     """All byte n-grams of a hex string, with multiplicity."""
     size = (F.length(c) / 2).cast("int")
-    parts = [F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i, n=n: F.substring(c, i * 2 + 1, F.lit(2 * n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
+
+    def of(n: int) -> Column:
+        return F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: F.substring(c, i * 2 + 1, F.lit(2 * n)))).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(n) for n in range(lo, hi + 1)]
     return F.flatten(F.array(*parts))
 
 

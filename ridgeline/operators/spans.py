@@ -81,7 +81,7 @@ def subspans(tokens: DataFrame, inside: str = "inside", most: int = 8) -> DataFr
     w = Window.partitionBy("doc_id").orderBy("idx")
     x = tokens.withColumn("_run", F.sum(F.when(F.col(inside), 0).otherwise(1)).over(w)).where(F.col(inside))
     ahead = F.collect_list("e").over(Window.partitionBy("doc_id", "_run").orderBy("idx").rowsBetween(0, most - 1))
-    return x.select("doc_id", "s", F.explode(ahead).alias("e"))
+    return x.select("doc_id", "s", ahead.alias("_ends")).select("doc_id", "s", F.explode("_ends").alias("e"))
 
 
 def longest(x: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def _ridge() -> Ridge:
 _SCORE = "s AS (SELECT vec_id AS \"row\", l::INT AS label, list_sum(list_transform(range(0, 64), lambda d: CASE WHEN d % 10 = l THEN embedding[d + 1]::DOUBLE * (d + 1) / 64 ELSE 0 END)) + l / 100 AS score FROM embeddings, range(10) t(l))"
 
 
-@query("ridge_regress", f"WITH {_SCORE} SELECT \"row\", label, round(score, 5) AS score FROM s")
+@query("ridge_regress", f"WITH {_SCORE} SELECT \"row\", label, round(score::FLOAT::DOUBLE, 5) AS score FROM s")
 def ridge_regress(spark, sf_dir):
     return kernel.long_scores(_ridge().regress(_codes(spark, sf_dir))).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
@@ -199,7 +199,7 @@ def topk_ann(spark, sf_dir):
 _DOTS = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 
 
-@query("topk_ann_rerank", f"WITH {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, sid) AS r FROM n), d AS (SELECT qid, sid, distance, round({_DOTS}, 6) AS similarity FROM k JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = sid WHERE r <= 40), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, sid)::INT AS rank FROM d) SELECT qid, rank, round(similarity, 5) AS similarity FROM t WHERE rank <= 5")
+@query("topk_ann_rerank", f"WITH {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, sid) AS r FROM n), d AS (SELECT qid, sid, distance, {_DOTS} AS similarity FROM k JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = sid WHERE r <= 40), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC, sid)::INT AS rank FROM d) SELECT qid, rank, round(similarity, 5) AS similarity FROM t WHERE rank <= 5")
 def topk_ann_rerank(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     return retrieval.Index(e, "vec_id", "embedding", DIMS).search(e, 5, radius=1, oversample=8).select("qid", "rank", F.round("similarity", 5).alias("similarity"))

@@ -126,7 +126,7 @@ def win_span_nms(spark, sf_dir):
     "join_miss_report",
     f"""WITH {GOLD}, {_CAND}, {_PAIRS},
 b AS (SELECT doc_id, s AS x, e AS y, ty AS t, 0 AS src FROM cand UNION ALL SELECT doc_id, s, e, ty, 1 FROM pairs WHERE e IS NOT NULL),
-f AS (SELECT g.doc_id, g.idx, g.ty, coalesce(bool_or(x = s AND y = e AND t = ty), false) AS exact, coalesce(bool_or(x = s AND y = e), false) AS wrong,
+f AS (SELECT g.doc_id, g.idx, g.ty, coalesce(bool_or(x = s AND y = e AND b.t = g.ty), false) AS exact, coalesce(bool_or(x = s AND y = e), false) AS wrong,
   coalesce(bool_or(x <= s AND e <= y AND NOT (x = s AND y = e)), false) AS over_, coalesce(bool_or(s <= x AND y <= e AND NOT (x = s AND y = e) AND src = 0), false) AS ug,
   coalesce(bool_or(s <= x AND y <= e AND NOT (x = s AND y = e) AND src = 1), false) AS ub, count(x) > 0 AS some_
   FROM gold g LEFT JOIN b ON b.doc_id = g.doc_id AND x < e AND s < y GROUP BY ALL),

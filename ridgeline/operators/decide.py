@@ -232,7 +232,8 @@ def _steps(t: pa.Table) -> pa.Table:
 
 def span_offset(margins: DataFrame, cand: DataFrame, gold: DataFrame) -> float:
     """The rejection offset with the best F1 (the first of equals; halfway to the next breakpoint). Each document is decoded anew only at its own breakpoints;
-    the counts' changes are then summed over all documents in the order of the offsets. 0 without candidates."""
+    the counts' changes are then summed over all documents in the order of the offsets (margins that shift between a document's breakpoints may
+    change its choice a little, which isn't followed). 0 without candidates."""
     g = gold.select("doc_id", "s", "e", "ty").distinct().withColumn("_g", F.lit(1))
     x = cand.select("row", "doc_id", "s", "e").join(margins, "row").join(g, ["doc_id", "s", "e", "ty"], "left").withColumn("hit", F.coalesce("_g", F.lit(0)).cast("long"))
     x = x.select("doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("ty").cast("int").alias("ty"), "best", "second", "rejected", "hit")

@@ -88,6 +88,15 @@ class Model:
         return out
 
 
+def leading(square: np.ndarray, latent: int, rounds: int = 40) -> np.ndarray:
+    """The leading eigenvectors of a matrix of products, by subspace iteration with twice as many, which takes little more memory than the matrix."""
+    v = np.linalg.qr(np.random.default_rng(1).standard_normal((len(square), min(2 * latent, len(square)))))[0]
+    for _ in range(rounds):
+        v = np.linalg.qr(square @ v)[0]
+    values, turn = np.linalg.eigh(v.T @ square @ v)
+    return v @ turn[:, np.argsort(-values)[:latent]]
+
+
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in pieces(batch):
@@ -108,37 +117,54 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, latent: int = 48
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen[["doc_id"]].astype("int64"), "doc_id long")
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL"), ids, "left_semi")
-    rows = texts.mapInArrow(_sample_terms, "doc_id long, terms array<long>").toPandas().drop_duplicates("doc_id").merge(chosen, on="doc_id").sort_values("doc_id")
-    if not len(rows):
+    t = texts.mapInArrow(_sample_terms, "doc_id long, terms array<long>").toArrow().combine_chunks()
+    ids, first = np.unique(t.column("doc_id").to_numpy(), return_index=True)
+    if not ids.size:
         return None
-    y = rows["kind"].to_numpy()
-    own = [np.asarray(t, np.int64).view(np.uint64) for t in rows["terms"]]
-    names, at = np.unique(np.concatenate(own), return_inverse=True)
-    doc = np.repeat(np.arange(len(own)), [t.size for t in own])
-    df = np.stack([np.bincount(at[y[doc] == c], minlength=names.size) for c in range(3)], 1).astype(float)
+    y = chosen.set_index("doc_id")["kind"].loc[ids].to_numpy()
+    t = t.column("terms").combine_chunks().take(pa.array(first))
+    each = np.diff(t.offsets.to_numpy())
+    names, at = np.unique(t.flatten().to_numpy(), return_inverse=True)
+    names, at, doc = names.view(np.uint64), at.astype(np.int32), np.repeat(np.arange(ids.size, dtype=np.int32), each)
+    order = np.argsort(names)
+    place = np.empty(order.size, np.int32)
+    place[order] = np.arange(order.size, dtype=np.int32)
+    names, at = names[order], place[at]
     size = np.bincount(y, minlength=3).astype(float)
-    total, n = df.sum(1), size.sum()
-    g = np.zeros(names.size)
-    for c in range(3):
-        for o, t in ((df[:, c], total), (size[c] - df[:, c], n - total)):
-            expected = t * size[c] / n
-            g += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    best = np.zeros(names.size)
-    for c in (1, 2):
-        a, b = df[:, c] + 0.5, df[:, 0] + 0.5
-        best = np.maximum(best, np.abs(np.log(a / np.maximum(size[c] - a + 1, 0.5)) - np.log(b / np.maximum(size[0] - b + 1, 0.5))))
-    keep = g >= chance
-    kept, weight = names[keep], np.append(best[keep], 2.0)
-    x = np.zeros((len(own), kept.size + 1))
-    x[:, -1] = 1
-    column = np.cumsum(keep) - 1
+    n = size.sum()
+    df = np.stack([np.bincount(at[y[doc] == c], minlength=names.size).astype(np.int32) for c in range(3)], 1)
+    keep, best = np.zeros(names.size, bool), np.zeros(names.size, np.float32)
+    for lo in range(0, names.size, 65536):  # in pieces, as most terms occur once or twice and there are very many
+        f = df[lo : lo + 65536].astype(float)
+        total, g, odds = f.sum(1), np.zeros(len(f)), np.zeros(len(f))
+        for c in range(3):
+            for o, of in ((f[:, c], total), (size[c] - f[:, c], n - total)):
+                expected = of * size[c] / n
+                g += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(expected, 1e-9)), 0)
+        for c in (1, 2):
+            p, q = f[:, c] + 0.5, f[:, 0] + 0.5
+            odds = np.maximum(odds, np.abs(np.log(p / np.maximum(size[c] - p + 1, 0.5)) - np.log(q / np.maximum(size[0] - q + 1, 0.5))))
+        keep[lo : lo + 65536], best[lo : lo + 65536] = g >= chance, odds
+    kept, weight = names[keep], np.append(best[keep].astype(float), 2.0)
     hit = keep[at]
-    x[doc[hit], column[at[hit]]] = 1
-    x *= weight
-    values, axes = np.linalg.eigh(x.T @ x)
-    axes = axes[:, np.argsort(-values)[:latent]]
+    doc, column = doc[hit], (np.cumsum(keep, dtype=np.int32) - 1)[at[hit]]
+    cut = np.searchsorted(doc, np.arange(0, ids.size + 256, 256))
+
+    def part(i: int) -> np.ndarray:
+        """Weighted presence of 256 documents."""
+        x = np.zeros((min(256, ids.size - i * 256), kept.size + 1))
+        x[doc[cut[i] : cut[i + 1]] - i * 256, column[cut[i] : cut[i + 1]]] = 1
+        x[:, -1] = 1
+        return x * weight
+
+    parts = range(-(-ids.size // 256))
+    square = np.zeros((kept.size + 1, kept.size + 1))
+    for i in parts:
+        x = part(i)
+        square += x.T @ x
+    axes = leading(square, latent)
     project = (weight[:, None] * axes).astype(np.float32)
-    z = (x @ axes).astype(np.float32)
+    z = np.concatenate([part(i) @ axes for i in parts]).astype(np.float32)
     return Model(kept, project, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12), (y == 0).astype(np.float32), k)
 
 

@@ -1,7 +1,7 @@
 """Substring dedup by collinear chaining.
 
-Seeds are the minimizers of each document's runs of `k` words. An occurrence of a seed is matched with an earlier occurrence elsewhere: its batch's first,
-and those with the corpus's first, so every occurrence but the first has one match however many there are. The matches between two
+Seeds are the minimizers of each document's runs of `k` words. An occurrence of a seed is matched with one in a lesser document: its batch's first or, if
+that is in its own document, the corpus's first, so every occurrence outside the first document has one match however many there are. The matches between two
 documents are chained: a chain's score is its seeds' words less a cost in proportion to the gaps between them, and a Fenwick tree over positions in
 the other document finds each match's best predecessor. Chains are aligned word by word, which bridges edits and extends their ends.
 Overlapping passages of a document, whatever documents they are from, make one, and those of `least` words or more are the result.
@@ -55,7 +55,8 @@ def minimizers(h: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Seeds with the batch's first occurrence of each. Only firsts share the key that is looked up in the corpus, so no key is hot."""
+    """Seeds with the batch's first occurrence of each. Only the occurrences in the first's document share the key that is looked up in the corpus,
+    so a key has the rows of one document of each batch at most."""
     for batch in batches:
         parts = []
         for b in pieces(batch):
@@ -75,10 +76,10 @@ def _seeds(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[p
             seed, doc, pos = seed[order], doc[order], pos[order]
         first = np.concatenate([[True], seed[1:] != seed[:-1]]) if seed.size else np.zeros(0, bool)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1] if seed.size else np.zeros(0, int)
-        key = np.where(first, seed, mix(seed + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + pos.astype(np.uint64), 32))
-        none = pa.array(first)
+        own = doc == doc[lead]  # the corpus's first is to be the match of all of these, not of the first alone
+        key = np.where(own, seed, mix(seed + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + pos.astype(np.uint64), 32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(doc[lead], mask=np.asarray(none)), pa.array(pos[lead], mask=np.asarray(none))], ["key", "b", "pb", "a", "pa"]
+            [pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(doc[lead], mask=own), pa.array(pos[lead], mask=own)], ["key", "b", "pb", "a", "pa"]
         )
 
 

@@ -51,6 +51,19 @@ def test_short_repeats_and_clean_documents_stay(spark):
     assert sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
+def test_each_copy_in_a_later_document_of_another_batch_is_found(spark):
+    passage = prose(80, 21)
+    a = spark.createDataFrame([(1, " ".join(prose(40, 22) + passage + prose(40, 23)))], "doc_id long, text string")
+    b = spark.createDataFrame([(2, " ".join(prose(50, 24) + passage + prose(100, 25) + passage + prose(60, 26) + passage))], "doc_id long, text string")
+    docs = a.unionAll(b)
+    passages = sd.repeated_passages(docs)
+    got = sorted((r.doc_id, r.first_word, r.end_word, r.source_id) for r in passages.collect())
+    assert [g[0::3] for g in got] == [(2, 1)] * 3
+    assert all(abs(g[1] - lo) <= 1 and abs(g[2] - lo - 80) <= 1 for g, lo in zip(got, (50, 230, 370)))
+    left = {r.doc_id: len(r.text.split()) for r in sd.without_passages(docs, passages).collect()}
+    assert left[1] == 160 and abs(left[2] - 210) <= 6
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_first_chain_scores_as_well_as_by_all_pairs(seed):
     rng, k = random.Random(seed), 6

@@ -1,4 +1,8 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle verification."""
+"""Benchmark decontamination: look-up of the items' rarest weighted shingles, exact verification of all stretches around them.
+
+SimHash of item-sized windows with its multi-index Hamming search is here, too, but isn't what `contamination` searches by: at the similarities
+that count as a hit, fingerprints differ in too many bits to be told from those of unrelated texts.
+"""
 
 from __future__ import annotations
 
@@ -141,36 +145,99 @@ class Index:
         return float((np.minimum(there, count) * w).sum() / (count * w).sum())
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: Index, least: float) -> Iterator[pa.RecordBatch]:
+class Anchors:
+    """Of each item so many of its shingles, those in the fewest items first, that they weigh more than the share 1 - `least`. A stretch of text
+    that holds the share `least` of an item holds one of them, so looking these up finds every such stretch."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: float):
+        h, s, e, at = words(data, offsets)
+        sh, so = shingles(h, at, K)
+        w = weights(e - s, at, so)
+        self.ids, self.least, self.items, self.length = ids, least, [], []
+        for i in range(ids.size):
+            own, where, count = np.unique(sh[so[i] : so[i + 1]], return_index=True, return_counts=True)
+            self.items.append((own, count, w[so[i] : so[i + 1]][where]))
+            size = size_class(int(so[i + 1] - so[i])) if own.size else 0
+            self.length.append(size + 2 * max(1, size // 7))
+        every, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *(own for own, _, _ in self.items)]), return_counts=True)
+        keys, members = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (own, count, weight) in enumerate(self.items):
+            order = np.lexsort((-weight, held[np.searchsorted(every, own)]))
+            share = np.cumsum((count * weight)[order])
+            n = int(np.searchsorted(share, (1 - least + 1e-9) * share[-1], "right")) + 1 if own.size else 0
+            keys.append(own[order[:n]])
+            members.append(np.full(keys[-1].size, i))
+        key, member = np.concatenate(keys), np.concatenate(members)
+        order = np.argsort(key, kind="stable")
+        self.members = member[order]
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.start = np.append(first, key.size)
+        self.some = np.zeros(1 << max(16, (8 * self.keys.size).bit_length()), bool)  # most shingles of a text are told apart by this alone
+        self.some[self.keys & np.uint64(self.some.size - 1)] = True
+
+    def hits(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, item) of all anchors among shingles."""
+        if not self.keys.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.some[sh & np.uint64(self.some.size - 1)])
+        k = np.minimum(np.searchsorted(self.keys, sh[at]), self.keys.size - 1)
+        ok = self.keys[k] == sh[at]
+        at, k = at[ok], k[ok]
+        n = self.start[k + 1] - self.start[k]
+        return np.repeat(at, n), self.members[np.repeat(self.start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def similarity(self, item: int, part: np.ndarray) -> float:
+        """The greatest share of the item's weighted shingles, with multiplicity, that a stretch of `part` of the item's length and margins holds;
+        0 if that is under `least`."""
+        own, count, w = self.items[item]
+        total = int((count * w).sum())
+        k = np.minimum(np.searchsorted(own, part), own.size - 1)
+        at = np.flatnonzero(own[k] == part)
+        k = k[at]
+        sums = np.concatenate([[0], np.cumsum(w[k])])
+        if sums[-1] < self.least * total:
+            return 0.0
+        end = np.searchsorted(at, at + self.length[item])
+        bound = sums[end] - sums[:-1]  # without regard to multiplicity
+        best = 0
+        for j in np.argsort(-bound, kind="stable").tolist():
+            if bound[j] <= best or bound[j] < self.least * total or best == total:
+                break
+            best = max(best, int((np.minimum(np.bincount(k[j : end[j]], minlength=own.size), count) * w).sum()))
+        return best / total if best / total >= self.least else 0.0
+
+
+def _search(batches: Iterator[pa.RecordBatch], anchors: Anchors) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in pieces(batch):
             h, _, _, at = words(*text_buffer(b.column(1)))
             sh, so = shingles(h, at, K)
             best: dict[tuple[int, int], float] = {}
-            if index.longest:
-                planes = Planes(sh, index.longest)
-                for size in index.classes:
-                    start, end, text = windows(so, size)
-                    margin = max(1, size // 7)
-                    for w, i in zip(*index.within(size, planes.fingerprints(start, end))):
-                        t = int(text[w])
-                        s = index.similarity(i, sh[max(start[w] - margin, so[t]) : min(end[w] + margin, so[t + 1])])
-                        if s >= least and s > best.get((t, i), 0):
-                            best[t, i] = s
+            pos, item = anchors.hits(sh)
+            text = np.searchsorted(so, pos, "right") - 1
+            order = np.lexsort((pos, item, text))
+            pos, item, text = pos[order], item[order], text[order]
+            far = np.diff(pos) > 2 * np.array(anchors.length, np.int64)[item[1:]]
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0) | far, [True]])) if pos.size else np.zeros(1, int)
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                t, i = int(text[lo]), int(item[lo])
+                s = anchors.similarity(i, sh[max(pos[lo] - anchors.length[i] + 1, so[t]) : min(pos[hi - 1] + anchors.length[i], so[t + 1])])
+                if s > best.get((t, i), 0):
+                    best[t, i] = s
             rows = pa.array([t for t, _ in best], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([int(index.ids[i]) for _, i in best], pa.int64()), pa.array(list(best.values()), pa.float64())], ["doc_id", "item_id", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([int(anchors.ids[i]) for _, i in best], pa.int64()), pa.array(list(best.values()), pa.float64())], ["doc_id", "item_id", "similarity"])
 
 
-#: Items to an index, which is broadcast (about 12 KB an item). More items are searched by several indexes, each in its own pass.
+#: Items to an index, which is broadcast (some KB an item). More items are searched by several indexes, each in its own pass.
 ITEMS = 20_000
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = 15, least: float = 0.6, items: int = ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, similarity) of every document that holds a benchmark item.
 
-    A window of about the item's size whose SimHash is within `radius` bits of the item's is a candidate; the index finds all of those.
-    Candidates count if at least the share `least` of the item's weighted shingles (pairs of words, weighing their bytes) lie in the
-    window or its margin of a seventh. The best similarity is given for each document and item.
+    A document holds an item if at least the share `least` of the item's weighted shingles (pairs of words, weighing their bytes) lie in some
+    window of about the item's size or its margin of a seventh, wherever it starts; all of those are found. The best similarity is given for
+    each document and item.
 
     Null or empty texts, and null doc_ids or item_ids, never match. Repeated rows give one result. One-word items match only one-word texts. Windows of
     a document shorter than an item are the whole document. Empty tables give no rows. Other columns aren't read.
@@ -181,8 +248,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = 15, least
     found = None
     for p in range(passes):
         part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toPandas()
-        index = Index(part["item_id"].to_numpy(np.int64), *text_buffer(pa.array(part["text"], pa.large_string())), radius)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        hits = texts.mapInArrow(lambda it, shared=shared: _search(it, shared.value, least), "doc_id long, item_id long, similarity double")
+        anchors = Anchors(part["item_id"].to_numpy(np.int64), *text_buffer(pa.array(part["text"], pa.large_string())), least)
+        shared = docs.sparkSession.sparkContext.broadcast(anchors)
+        hits = texts.mapInArrow(lambda it, shared=shared: _search(it, shared.value), "doc_id long, item_id long, similarity double")
         found = hits if found is None else found.unionAll(hits)
     return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,38 @@ def test_planted_items_are_found_and_no_others(spark):
     assert again == got
 
 
+def brute(item, text):
+    """The best weighted share over all stretches of the item's length with its margins."""
+    pairs = lambda t: Counter(zip(t.split(), t.split()[1:]))
+    own, words_ = pairs(item), text.split()
+    size = dc.size_class(len(item.split()) - 1)
+    long = size + 2 * max(1, size // 7)
+    weight = lambda p: len(p[0]) + len(p[1])
+    total = sum(n * weight(p) for p, n in own.items())
+    best = 0
+    for at in range(max(1, len(words_) - long)):
+        there = Counter(zip(words_[at : at + long], words_[at + 1 : at + long + 1]))
+        best = max(best, sum(min(n, there[p]) * weight(p) for p, n in own.items()))
+    return best / total
+
+
+def test_edited_items_are_found_as_by_brute_force(spark):
+    r = random.Random(77)
+    items = [" ".join(prose(n, 300 + 10 * n + k)) for n in (30, 60, 120) for k in range(4)]
+    rows = []
+    for i, item in enumerate(items):
+        for share in (0.1, 0.15, 0.2):
+            for k in range(2):
+                w = item.split()
+                for j in r.sample(range(len(w)), round(share * len(w))):
+                    w[j] = "edit" + str(r.randrange(10**6))
+                rows.append((len(rows), " ".join(prose(r.randrange(60), len(rows)) + w + prose(50, 1000 + len(rows)))))
+    want = {(d, i): s for d, t in rows for i, item in enumerate(items) if (s := brute(item, t)) >= 0.6}
+    assert len(want) > len(rows) / 2
+    got = dc.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.similarity for x in got} == {k: round(s, 6) for k, s in want.items()}
+
+
 def test_index_finds_all_fingerprints_within_the_radius():
     data, offsets = text_buffer(pa.array(ITEMS, pa.large_string()))
     index = dc.Index(np.arange(len(ITEMS)), data, offsets, 15)

@@ -1,10 +1,11 @@
 """Substring dedup by collinear chaining.
 
-Seeds are the minimizers of each document's runs of `k` words. An occurrence of a seed is matched with one in a lesser document: its batch's first or, if
-that is in its own document, the corpus's first, so every occurrence outside the first document has one match however many there are. The matches between two
+Seeds are the minimizers of each document's runs of `k` words. An occurrence of a seed is matched with the corpus's first, so every occurrence
+outside the first's document has one match however many there are. The matches between two
 documents are chained: a chain's score is its seeds' words less a cost in proportion to the gaps between them, and a Fenwick tree over positions in
 the other document finds each match's best predecessor. Chains are aligned word by word, which bridges edits and extends their ends.
-Overlapping passages of a document, whatever documents they are from, make one, and those of `least` words or more are the result.
+Passages of `least` words or more that align with one document are the result; those that overlap, whatever documents they are from, make one. Where only pieces
+from several documents are as long together, every document that shares their seeds is chained and aligned, in case one holds them all.
 """
 
 from __future__ import annotations
@@ -54,33 +55,45 @@ def minimizers(h: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple
     return x[c], text[c], first[c] - offsets[text[c]]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Seeds with the batch's first occurrence of each. Only the occurrences in the first's document share the key that is looked up in the corpus,
-    so a key has the rows of one document of each batch at most."""
-    for batch in batches:
-        parts = []
-        for b in pieces(batch):
-            h, _, _, at = words(*text_buffer(b.column(1)))
-            seed, text, pos = minimizers(h, at, k, window)
-            parts.append((seed, np.asarray(b.column(0))[text], pos.astype(np.int32)))
-        seed, doc, pos = (np.concatenate(x) for x in zip(*parts))
+def _numbered(batch: pa.RecordBatch, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, document, position) of a batch in this order."""
+    parts = []
+    for b in pieces(batch):
+        h, _, _, at = words(*text_buffer(b.column(1)))
+        seed, text, pos = minimizers(h, at, k, window)
+        parts.append((seed, np.asarray(b.column(0))[text], pos.astype(np.int32)))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    seed, doc, pos = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((pos, doc, seed))
+    seed, doc, pos = seed[order], doc[order], pos[order]
+    again = np.zeros(seed.size, bool)  # text that repeats itself at once: its occurrences are numbered, so that each matches its like
+    again[1:] = (seed[1:] == seed[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] - pos[:-1] <= 2 * window)
+    if again.any():
+        index = np.arange(seed.size)
+        number = index - np.maximum.accumulate(np.where(again, 0, index))
+        seed = np.where(again, mix(seed + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 33), seed)
         order = np.lexsort((pos, doc, seed))
         seed, doc, pos = seed[order], doc[order], pos[order]
-        again = np.zeros(seed.size, bool)  # text that repeats itself at once: its occurrences are numbered, so that each matches its like
-        again[1:] = (seed[1:] == seed[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] - pos[:-1] <= 2 * window)
-        if again.any():
-            index = np.arange(seed.size)
-            number = index - np.maximum.accumulate(np.where(again, 0, index))
-            seed = np.where(again, mix(seed + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 33), seed)
-            order = np.lexsort((pos, doc, seed))
-            seed, doc, pos = seed[order], doc[order], pos[order]
+    return seed, doc, pos
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seed, doc, pos = _numbered(batch, k, window)
+        yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc), pa.array(pos)], ["key", "doc", "pos"])
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
+    """The batch's first occurrence of each seed, with the others, if there are any: the rows of a key are one of each batch at most."""
+    for batch in batches:
+        seed, doc, pos = _numbered(batch, k, window)
         first = np.concatenate([[True], seed[1:] != seed[:-1]]) if seed.size else np.zeros(0, bool)
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1] if seed.size else np.zeros(0, int)
-        own = doc == doc[lead]  # the corpus's first is to be the match of all of these, not of the first alone
-        key = np.where(own, seed, mix(seed + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + pos.astype(np.uint64), 32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(doc[lead], mask=own), pa.array(pos[lead], mask=own)], ["key", "b", "pb", "a", "pa"]
-        )
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, seed.size)) - 1
+        others = pa.StructArray.from_arrays([pa.array(doc[~first]), pa.array(pos[~first])], ["b", "pb"])
+        more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), others, mask=pa.array(size == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(doc[at]), pa.array(pos[at]), more], ["key", "b", "pb", "more"])
 
 
 def chains(pb: np.ndarray, pa_: np.ndarray, k: int) -> list[list[int]]:
@@ -128,9 +141,9 @@ def chains(pb: np.ndarray, pa_: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def _chain(batches: Iterator[pa.RecordBatch], k: int, window: int, slack: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Chains of matches that come in the order of (b, a, pb, pa); only those in a stretch of b of about `least` words or more,
-    and of these not those that lie within others in which at least 0.4 of the expected seeds match."""
+def _chain(batches: Iterator[pa.RecordBatch], k: int, window: int, slack: int, least: int, alone: bool = False) -> Iterator[pa.RecordBatch]:
+    """Chains of matches that come in the order of (b, a, pb, pa); only those in a stretch of b of about `least` words or more (or with `alone` of that
+    length by themselves), and of these not those that lie within others in which at least 0.4 of the expected seeds match."""
     held: list[np.ndarray] = []
 
     def groups(m: np.ndarray) -> pa.RecordBatch:
@@ -165,6 +178,8 @@ def _chain(batches: Iterator[pa.RecordBatch], k: int, window: int, slack: int, l
                 doc = b
             pb, pa_ = m[2][lo:hi], m[3][lo:hi]
             for c in chains(pb, pa_, k):
+                if alone and pb[c[-1]] + k - pb[c[0]] < least:
+                    continue
                 x, d = pb[c], pb[c] - pa_[c]
                 turn = np.flatnonzero(np.diff(d)) + 1
                 start, stop = np.append(0, turn), np.append(turn, len(c)) - 1
@@ -264,6 +279,21 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([col("b").take(take), col("a").take(take), col("hash_b").take(take), *(pa.array(r[:, j]) for j in range(1, 5))], ["b", "a", "hash", "first", "last", "byte_first", "byte_last"])
 
 
+def _aligned(texts: DataFrame, chained: DataFrame, identity: float) -> DataFrame:
+    """The aligned passage of every chain that reaches `identity`."""
+    some = by_ids(texts, chained.select(F.explode(F.array("a", "b"))), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    pairs = chained.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("b", "a", "parts", "text_b", "text_a", F.xxhash64("text_b").alias("hash_b"))
+    return pairs.mapInArrow(lambda it: _align(it, identity), "b long, a long, hash long, first long, last long, byte_first long, byte_last long")
+
+
+def _islands(spans: DataFrame, slack: int) -> DataFrame:
+    """`spans` with the number of the group of overlapping or touching ones of its document."""
+    w = Window.partitionBy("b").orderBy("first", "last", "a")
+    spans = spans.withColumn("reach", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return spans.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach") + slack), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 10, identity: float = 0.7, slack: int = 5) -> DataFrame:
     """(doc_id, first_word, end_word, first_byte, end_byte, source_id, text_hash) of passages that stand in a document of a lesser doc_id, too.
 
@@ -279,21 +309,31 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     shared_dir(spark)
     work = Work(spark)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = texts.mapInArrow(lambda it: _seeds(it, k, window), "key long, b long, pb int, a long, pa int")
+    seeds = texts.mapInArrow(lambda it: _seeds(it, k, window), "key long, b long, pb int, more array<struct<b: long, pb: int>>")
     order = Window.partitionBy("key").orderBy("b", "pb")
-    found = seeds.select("b", "pb", F.coalesce("a", F.first("b").over(order)).alias("a"), F.coalesce("pa", F.first("pb").over(order)).alias("pa")).where("a <> b")
+    found = seeds.select("b", "pb", "more", F.first("b").over(order).alias("a"), F.first("pb").over(order).alias("pa")).where("a <> b OR more IS NOT NULL")
+    every = F.concat(F.array(F.struct("b", "pb")), F.coalesce("more", F.array().cast("array<struct<b: long, pb: int>>")))
+    found = found.select("a", "pa", F.explode(every).alias("_o")).select("a", "pa", "_o.b", "_o.pb").where("a <> b")
     found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa").select("b", "a", "pb", "pa")
     near = least - 2 * (k + window - 1)  # seeds may begin and end so much later and earlier than a passage
     chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 2 * window, max(k, near)), "b long, a long, parts array<int>"))
-    some = by_ids(texts, chained.select(F.explode(F.array("a", "b"))), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    pairs = chained.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("b", "a", "parts", "text_b", "text_a", F.xxhash64("text_b").alias("hash_b"))
-    spans = pairs.mapInArrow(lambda it: _align(it, identity), "b long, a long, hash long, first long, last long, byte_first long, byte_last long")
-    w = Window.partitionBy("b").orderBy("first", "last", "a")
-    spans = spans.withColumn("reach", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach") + slack), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = work.table(_aligned(texts, chained, identity))
+    alone = F.col("last") - F.col("first") >= least
+    # short pieces that only together are long enough: another document may hold all of them, so all that share their seeds are aligned
+    long = spans.where(alone).select("b", F.col("first").alias("_f"), F.col("last").alias("_l"))
+    loose = spans.where(~alone).join(long, "b", "left").groupBy("b", "a", "first", "last").agg(F.coalesce(F.max((F.col("first") >= F.col("_f") - slack) & (F.col("last") <= F.col("_l") + slack)), F.lit(False)).alias("within")).where("NOT within")
+    parts = _islands(spans, slack).groupBy("b", "island").agg(F.min("first").alias("_lo"), F.max("last").alias("_hi")).where(F.col("_hi") - F.col("_lo") >= least)
+    parts = work.table(parts.join(loose.select("b", "first"), "b").where("first >= _lo AND first < _hi").select("b", "_lo", "_hi").distinct())
+    seeds = texts.mapInArrow(lambda it: _occurrences(it, k, window), "key long, doc long, pos int")
+    asked = by_ids(seeds, parts.select("b"), "left_semi", "doc").join(parts, F.col("doc") == parts["b"]).where(F.col("pos").between(F.col("_lo"), F.col("_hi") - k))
+    asked = work.table(asked.select("key", "b", F.col("pos").alias("pb")))
+    there = by_ids(seeds, asked.select("key"), "left_semi", "key")
+    found = asked.join(there, "key").where("doc < b").select("b", F.col("doc").alias("a"), "pb", F.col("pos").alias("pa"))
+    found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa")
+    chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 2 * window, max(k, near), True), "b long, a long, parts array<int>"))
+    spans = _islands(spans.unionAll(_aligned(texts, chained, identity)).where(alone), slack)
     out = spans.groupBy("b", "island").agg(F.min("first").alias("first_word"), F.max("last").alias("end_word"), F.min("byte_first").alias("first_byte"), F.max("byte_last").alias("end_byte"), F.max_by("a", F.struct(F.col("last") - F.col("first"), -F.col("a"))).alias("source_id"), F.first("hash").alias("text_hash"))
-    out = out.where(F.col("end_word") - F.col("first_word") >= least).select(F.col("b").alias("doc_id"), "first_word", "end_word", "first_byte", "end_byte", "source_id", "text_hash").checkpoint()
+    out = out.select(F.col("b").alias("doc_id"), "first_word", "end_word", "first_byte", "end_byte", "source_id", "text_hash").checkpoint()
     work.drop()
     return out
 

@@ -64,6 +64,15 @@ def test_each_copy_in_a_later_document_of_another_batch_is_found(spark):
     assert left[1] == 160 and abs(left[2] - 210) <= 6
 
 
+def test_pieces_make_a_passage_only_if_one_document_holds_them_all(spark):
+    x, y = prose(32, 31), prose(32, 32)
+    rows = [(i + 1, " ".join(prose(60, 40 + i) + phrase + prose(60, 50 + i))) for i, phrase in enumerate((x, y, x + y))]
+    assert sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    rows.append((4, " ".join(prose(20, 60) + x + y + prose(20, 61))))
+    got = sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_word, r.end_word, r.source_id) for r in got] == [(4, 20, 84, 3)]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_first_chain_scores_as_well_as_by_all_pairs(seed):
     rng, k = random.Random(seed), 6

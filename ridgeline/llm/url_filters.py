@@ -74,7 +74,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, z: float = 1.645, least: flo
     p = _pages(pages).select("page_id", "host")
     h = host_reputation(pages, labels)
     out = p.join(h, "host", "left")
-    bound = F.expr(f"least(1.0, posterior_mean + {z} * posterior_sd)")
+    bound = F.expr(f"CASE WHEN posterior_mean IS NOT NULL THEN least(1.0, posterior_mean + {z} * posterior_sd) END")  # least() of a null would be 1
     return out.select("page_id", "host", "domain", "suffix", "n_labelled", "n_good", F.round("posterior_mean", 6).alias("posterior_mean"), F.round(bound, 6).alias("upper_bound"), F.coalesce(bound >= least, F.lit(True)).alias("keep"))
 
 

@@ -14,13 +14,13 @@ def prose(n, seed):
 def test_repeated_passages_are_found_with_their_bounds(spark):
     rows, want = [], {}
     for i in range(12):
-        passage = prose(60 + 15 * i, 500 + i)
+        passage = prose(60 + 15 * i, 40_000 + i)
         for k in range(3):
-            head = prose(20 * k + i, 1000 * i + k)
-            rows.append((i * 10 + k, " ".join(head + passage + prose(30, 2000 * i + k))))
+            head = prose(20 * k + i, 10_000 + 10 * i + k)
+            rows.append((i * 10 + k, " ".join(head + passage + prose(30, 20_000 + 10 * i + k))))
             if k:
                 want[i * 10 + k] = (len(head), len(head) + len(passage), i * 10)
-    rows += [(900 + i, " ".join(prose(150, 9000 + i))) for i in range(20)]
+    rows += [(900 + i, " ".join(prose(150, 30_000 + i))) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in sd.repeated_passages(df).collect()}
     assert set(got) == set(want)

@@ -189,9 +189,43 @@ BROADCAST_IDS = 4_000_000
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Rows of `docs` that have (left_semi) or lack (left_anti) their key among the one column of `ids`. Rows with a null key lack it."""
-    ids = ids.toDF("_id_").distinct()
+    (own,) = hidden(docs, "id")
+    ids = ids.toDF(own).distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    return docs.join(ids, docs[key] == ids["_id_"], how)
+    return docs.join(ids, docs[key] == ids[own], how)
+
+
+def hidden(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that no column of `docs` has, whatever those are called."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"_{n}_{mark}" for n in names]
+
+
+def units(docs: DataFrame, work: Work, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one id for each different text, and (unit, id) of the texts that share their doc_id with others (None: there are none).
+
+    A doc_id names its text, of several the least in order. Others under the same doc_id get numbers from 2^62 on, which depend on doc_id and text
+    alone, so that they count as later than all others. Rows without a doc_id or a text are left out.
+    """
+    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hashed = F.xxhash64("text")
+    several = work.table(texts.groupBy("doc_id").agg(F.min(hashed).alias("_a"), F.max(hashed).alias("_b")).where("_a <> _b").select("doc_id"))
+    if several.isEmpty():
+        return texts, None
+    shared = work.table(by_ids(texts, several, "left_semi").groupBy("doc_id").agg(F.xxhash64(F.min("text"))).toDF("_shared", "_least"))
+    n = shared.count()
+    unit = F.xxhash64("doc_id", "text", F.lit(7)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    marked = texts.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, F.col("doc_id") == F.col("_shared"), "left")
+    marked = marked.select(F.when(F.coalesce(F.col("_least") == hashed, F.lit(True)), F.col("doc_id")).otherwise(unit).alias("doc_id"), "text", "_shared")
+    return marked.select("doc_id", "text"), work.table(marked.where("_shared IS NOT NULL").select(F.col("doc_id").alias("unit"), F.col("_shared").alias("id")).distinct())
+
+
+def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """`df` with the doc_ids in the place of the units in `columns`."""
+    for c in columns if names is not None else ():
+        small = names.toDF("_unit", "_name")
+        df = df.join(small, df[c] == small["_unit"], "left").withColumn(c, F.coalesce("_name", c)).drop("_unit", "_name")
+    return df
 
 
 def lowered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

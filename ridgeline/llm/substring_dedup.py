@@ -5,7 +5,8 @@ outside the first's document has one match however many there are. The matches b
 documents are chained: a chain's score is its seeds' words less a cost in proportion to the gaps between them, and a Fenwick tree over positions in
 the other document finds each match's best predecessor. Chains are aligned word by word, which bridges edits and extends their ends.
 Passages of `least` words or more that align with one document are the result; those that overlap, whatever documents they are from, make one. Where only pieces
-from several documents are as long together, every document that shares their seeds is chained and aligned, in case one holds them all.
+from several documents are as long together, a document that holds them all has seeds of two of them about as far apart: pairs of seeds that no
+piece holds are matched with the first document that has the pair, and, where this one doesn't align, with every one that has it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, by_ids, mix, pieces, shared_dir, text_buffer, words
+from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, text_buffer, units, words
 
 _POS = np.uint64((1 << 24) - 1)
 GAP_COST = 0.1  # for each word of either document between two seeds of a chain
@@ -294,7 +295,64 @@ def _islands(spans: DataFrame, slack: int) -> DataFrame:
     return spans.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach") + slack), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 10, identity: float = 0.7, slack: int = 5) -> DataFrame:
+def _reach(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points (b, at, ...) with `reach`, the farthest end of the spans (b, first, last) of b that begin at or before each of them; 0 if none does."""
+    both = points.withColumn("_end", F.lit(None).cast("long")).unionByName(spans.select("b", F.col("first").alias("at"), F.col("last").alias("_end")), allowMissingColumns=True)
+    w = Window.partitionBy("b").orderBy("at", F.col("_end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("reach", F.coalesce(F.max("_end").over(w), F.lit(0))).where("_end IS NULL").drop("_end")
+
+
+def _loose(spans: DataFrame, least: int, slack: int) -> DataFrame:
+    """(b, lo, hi) of the stretches of at least `least` words made of overlapping or touching passages some of which are in none that is as long by itself."""
+    long = F.col("last") - F.col("first") >= least
+    points = spans.where(~long).select("b", (F.col("first") + slack).alias("at"), "first", "last")
+    short = _reach(points, spans.where(long)).where(F.col("reach") < F.col("last") - slack).select("b", "first")
+    parts = _islands(spans, slack).groupBy("b", "island").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).where(F.col("hi") - F.col("lo") >= least)
+    return parts.join(short, "b").where("first >= lo AND first < hi").select("b", "lo", "hi").distinct()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of the pairs of seeds of one document that begin `low` to `high` words apart. Rows (doc, pos, key, reach) come in the order of
+    (doc, pos); pairs that end within the first one's reach are left out."""
+    held: list[np.ndarray] = []
+
+    def of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        turn = np.concatenate([[True], m[0][1:] != m[0][:-1]])
+        place = m[1] + np.cumsum(turn) * (1 << 32)  # rises through all documents, which are far apart in it
+        lo, hi = np.searchsorted(place, place + low), np.searchsorted(place, place + high, "right")
+        n = np.maximum(hi - lo, 0)
+        cut = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + 1_000_000, 1_000_000))
+        for i, j in zip(cut[:-1], [*cut[1:-1], n.size]):
+            one = np.repeat(np.arange(i, j), n[i:j])
+            two = np.repeat(lo[i:j], n[i:j]) + np.arange(one.size) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+            ok = m[1][two] + k > m[3][one]
+            one, two = one[ok], two[ok]
+            key = mix(m[2][one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + m[2][two].view(np.uint64), 35)
+            yield pa.RecordBatch.from_arrays([pa.array(m[0][one]), pa.array(key.view(np.int64))], ["doc", "pair"])
+
+    for batch in batches:
+        m = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)])
+        if not m.shape[1]:
+            continue
+        before = np.flatnonzero(m[0] != m[0][-1])
+        end = int(before[-1]) + 1 if before.size else 0
+        if end:
+            yield from of(np.concatenate([*held, m[:, :end]], axis=1))
+            held = []
+        elif held and held[-1][0][-1] != m[0][0]:
+            yield from of(np.concatenate(held, axis=1))
+            held = []
+        held.append(m[:, end:])
+    if held:
+        yield from of(np.concatenate(held, axis=1))
+
+
+def _pairs_of(seeds: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    rows = seeds.select("doc", "pos", "key", "reach").repartition("doc").sortWithinPartitions("doc", "pos")
+    return rows.mapInArrow(lambda it: _pairs(it, k, low, high), "doc long, pair long").distinct()
+
+
+def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 5, identity: float = 0.7, slack: int = 5) -> DataFrame:
     """(doc_id, first_word, end_word, first_byte, end_byte, source_id, text_hash) of passages that stand in a document of a lesser doc_id, too.
 
     source_id is the document that the longest part of the passage was found in; text_hash is the xxhash64 of the text that the offsets are of.
@@ -302,58 +360,75 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     k + window - 1; in fuzzy ones, stretches of k words must survive between edits, `identity` of the words, and no gap be over about 30 words.
     Passages that repeat only within their own document aren't reported. Words are compared regardless of ASCII case.
 
-    Null or empty texts and those of fewer than k words have none. Rows with a null doc_id are left out; rows that repeat a doc_id are one
-    document, of whose texts the least in order is examined. An empty table gives no rows. Other columns aren't read.
+    Null or empty texts and those of fewer than k words have none. Rows with a null doc_id are left out; rows that repeat doc_id and text are one
+    document; different texts under one doc_id are different documents, all but the least in order of which come after all others. An empty table gives no rows. Other columns
+    aren't read. The result depends neither on the order of rows nor on how they fall into files, partitions or batches.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     work = Work(spark)
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts, names = units(docs, work)
+    near = min(max(k, 2 * least // 5), max(k, least - 2 * (k + window - 1)))  # seeds may begin and end so much later and earlier than a passage
+    chain = "b long, a long, parts array<int>"
     seeds = texts.mapInArrow(lambda it: _seeds(it, k, window), "key long, b long, pb int, more array<struct<b: long, pb: int>>")
     order = Window.partitionBy("key").orderBy("b", "pb")
     found = seeds.select("b", "pb", "more", F.first("b").over(order).alias("a"), F.first("pb").over(order).alias("pa")).where("a <> b OR more IS NOT NULL")
     every = F.concat(F.array(F.struct("b", "pb")), F.coalesce("more", F.array().cast("array<struct<b: long, pb: int>>")))
     found = found.select("a", "pa", F.explode(every).alias("_o")).select("a", "pa", "_o.b", "_o.pb").where("a <> b")
     found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa").select("b", "a", "pb", "pa")
-    near = least - 2 * (k + window - 1)  # seeds may begin and end so much later and earlier than a passage
-    chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 2 * window, max(k, near)), "b long, a long, parts array<int>"))
+    chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 20, near), chain))
     spans = work.table(_aligned(texts, chained, identity))
-    alone = F.col("last") - F.col("first") >= least
-    # short pieces that only together are long enough: another document may hold all of them, so all that share their seeds are aligned
-    long = spans.where(alone).select("b", F.col("first").alias("_f"), F.col("last").alias("_l"))
-    loose = spans.where(~alone).join(long, "b", "left").groupBy("b", "a", "first", "last").agg(F.coalesce(F.max((F.col("first") >= F.col("_f") - slack) & (F.col("last") <= F.col("_l") + slack)), F.lit(False)).alias("within")).where("NOT within")
-    parts = _islands(spans, slack).groupBy("b", "island").agg(F.min("first").alias("_lo"), F.max("last").alias("_hi")).where(F.col("_hi") - F.col("_lo") >= least)
-    parts = work.table(parts.join(loose.select("b", "first"), "b").where("first >= _lo AND first < _hi").select("b", "_lo", "_hi").distinct())
-    seeds = texts.mapInArrow(lambda it: _occurrences(it, k, window), "key long, doc long, pos int")
-    asked = by_ids(seeds, parts.select("b"), "left_semi", "doc").join(parts, F.col("doc") == parts["b"]).where(F.col("pos").between(F.col("_lo"), F.col("_hi") - k))
-    asked = work.table(asked.select("key", "b", F.col("pos").alias("pb")))
-    there = by_ids(seeds, asked.select("key"), "left_semi", "key")
-    found = asked.join(there, "key").where("doc < b").select("b", F.col("doc").alias("a"), "pb", F.col("pos").alias("pa"))
-    found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa")
-    chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 2 * window, max(k, near), True), "b long, a long, parts array<int>"))
-    spans = _islands(spans.unionAll(_aligned(texts, chained, identity)).where(alone), slack)
+
+    # short pieces that only together are long enough: another document may hold all of them, and then has seeds of two pieces about as far apart
+    parts = work.table(_loose(spans, least, slack))
+    if not parts.isEmpty():
+        asked = by_ids(texts, parts.select("b"), "left_semi").mapInArrow(lambda it: _occurrences(it, k, window), "key long, b long, at int")
+        asked = work.table(asked.join(parts, "b").where(F.col("at").between(F.col("lo"), F.col("hi") - k)).select("key", "b", "at").distinct())
+        there = work.table(by_ids(texts.mapInArrow(lambda it: _occurrences(it, k, window), "key long, doc long, pos int"), asked.select("key"), "left_semi", "key"))
+        others = work.table(_pairs_of(there.withColumn("reach", F.lit(0)), k, near // 2, least + near).select("pair", F.col("doc").alias("a")))
+        for first in (True, False):  # each pair's first document; then, for pairs that this one doesn't align with, all that have it
+            own = _reach(asked, spans).withColumnRenamed("b", "doc").withColumnRenamed("at", "pos")
+            own = work.table(_pairs_of(own, k, near, least).toDF("b", "pair"))
+            have = by_ids(others, own.select("pair"), "left_semi", "pair")
+            have = have.groupBy("pair").agg(F.min("a").alias("a")) if first else have
+            links = work.table(own.join(have, "pair").where("a < b").select("b", "a").distinct())
+            found = links.join(asked, "b").join(there.select("key", F.col("doc").alias("a"), F.col("pos").alias("pa")), ["key", "a"]).select("b", "a", F.col("at").alias("pb"), "pa")
+            found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa")
+            chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 20, near, True), chain))
+            spans = work.table(spans.unionAll(_aligned(texts, chained, identity)).distinct())
+            if not first:
+                break
+            parts = work.table(_loose(spans, least, slack))
+            if parts.isEmpty():
+                break
+            asked = work.table(asked.join(parts, "b").where(F.col("at").between(F.col("lo"), F.col("hi") - k)).select("key", "b", "at").distinct())
+    spans = _islands(spans.where(F.col("last") - F.col("first") >= least), slack)
     out = spans.groupBy("b", "island").agg(F.min("first").alias("first_word"), F.max("last").alias("end_word"), F.min("byte_first").alias("first_byte"), F.max("byte_last").alias("end_byte"), F.max_by("a", F.struct(F.col("last") - F.col("first"), -F.col("a"))).alias("source_id"), F.first("hash").alias("text_hash"))
-    out = out.select(F.col("b").alias("doc_id"), "first_word", "end_word", "first_byte", "end_byte", "source_id", "text_hash").checkpoint()
+    out = named(out.select(F.col("b").alias("doc_id"), "first_word", "end_word", "first_byte", "end_byte", "source_id", "text_hash"), names, "doc_id", "source_id").checkpoint()
     work.drop()
     return out
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The rows of `docs` with the passages cut out of their texts (a blank in their stead), and n_chars, if there is such a column, anew.
-    Rows without passages stay as they are, nulls included; those with no word left go. Rows with another text than the passages' stay, too."""
-    cuts = passages.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("_cuts")).select(F.col("doc_id").alias("_id"), "text_hash", "_cuts")
+
+    Rows without passages stay as they are, nulls, empty texts and repeated rows included; those with no word left go. A passage is cut from every row with
+    its doc_id and the very text that it was found in, whatever other rows share the doc_id. Columns of any other names stay as they are.
+    """
+    cuts_, id_, hash_, text_ = hidden(docs, "cuts", "id", "hash", "text")
+    cuts = passages.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte")))).toDF(id_, hash_, cuts_)
     work = Work(docs.sparkSession)
     cuts = work.table(cuts).checkpoint()
     work.drop()
     n = cuts.count()
-    whole = by_ids(docs, cuts.select("_id"), "left_anti")
-    some = by_ids(docs, cuts.select("_id"), "left_semi")
-    some = some.join(F.broadcast(cuts) if n <= 100_000 else cuts, (some["doc_id"] == cuts["_id"]) & (F.xxhash64(some["text"]) == cuts["text_hash"]), "left")
+    whole = by_ids(docs, cuts.select(id_), "left_anti")
+    some = by_ids(docs, cuts.select(id_), "left_semi")
+    some = some.join(F.broadcast(cuts) if n <= 100_000 else cuts, (some["doc_id"] == cuts[id_]) & (F.xxhash64(some["text"].cast("string")) == cuts[hash_]), "left")
     raw = F.encode("text", "utf-8")
-    bounds = F.concat(F.transform("_cuts", lambda c: c["first_byte"]), F.array(F.octet_length("text").cast("long")))
-    kept = F.transform(bounds, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.col("_cuts")[i - 1]["end_byte"]).cast("int").alias("s"), e.cast("int").alias("e")))
+    bounds = F.concat(F.transform(cuts_, lambda c: c["first_byte"]), F.array(F.octet_length("text").cast("long")))
+    kept = F.transform(bounds, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.col(cuts_)[i - 1]["end_byte"]).cast("int").alias("s"), e.cast("int").alias("e")))
     pieces_ = F.transform(kept, lambda p: F.trim(F.decode(F.substring(raw, p["s"] + 1, p["e"] - p["s"]), "utf-8")))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces_, lambda p: F.length(p) > 0), " "))
-    some = some.withColumn("_t", text).where(F.col("_cuts").isNull() | F.col("_t").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
-    columns = [F.col("_t").alias(c) if c == "text" else F.when(F.col("_cuts").isNull(), F.col(c)).otherwise(F.length("_t")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    text = F.when(F.col(cuts_).isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces_, lambda p: F.length(p) > 0), " "))
+    some = some.withColumn(text_, text).where(F.col(cuts_).isNull() | F.col(text_).rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+    columns = [F.col(text_).alias(c) if c == "text" else F.when(F.col(cuts_).isNull(), F.col(c)).otherwise(F.length(text_)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return whole.unionByName(some.select(*columns))

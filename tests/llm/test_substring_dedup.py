@@ -73,6 +73,36 @@ def test_pieces_make_a_passage_only_if_one_document_holds_them_all(spark):
     assert [(r.doc_id, r.first_word, r.end_word, r.source_id) for r in got] == [(4, 20, 84, 3)]
 
 
+def test_result_is_the_same_however_rows_fall_into_batches(spark):
+    r = random.Random(5)
+    lines = [prose(r.randint(8, 40), 600 + i) for i in range(12)]
+    passages = [prose(70, 650 + i) for i in range(4)]
+    rows = [(i, " ".join(sum((r.choice(lines) if r.random() < 0.6 else prose(25, 700 + 9 * i + j) for j in range(4)), []) + r.choice(passages) + r.choice(lines) + r.choice(lines))) for i in range(60)]
+    rows += [(5, " ".join(prose(30, 690) + passages[0])), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(sd.repeated_passages(docs.coalesce(1)).collect())
+    assert len(want) >= 50
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most, files in ((1, 3), (7, 1), (10, 5)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            assert set(sd.repeated_passages(docs.repartition(files, "text")).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("edits", [0.1, 0.15])
+def test_lightly_edited_passages_are_found(spark, edits):
+    r = random.Random(9)
+    rows, n = [], 60
+    for i in range(n):
+        p = prose(80, 3000 + i)
+        q = [f"edit{i}x{j}" if r.random() < edits else w for j, w in enumerate(p)]
+        rows += [(i, " ".join(prose(40, 3100 + i) + p)), (1000 + i, " ".join(prose(40, 3200 + i) + q + prose(20, 3300 + i)))]
+    got = {x.doc_id: x.source_id for x in sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == d - 1000 for d in got) and len(got) >= (0.9 if edits < 0.12 else 0.75) * n
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_first_chain_scores_as_well_as_by_all_pairs(seed):
     rng, k = random.Random(seed), 6

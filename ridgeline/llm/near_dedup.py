@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, by_ids, lowered, mix, pieces, shared_dir, shingles, text_buffer, words
+from ridgeline.llm.common import BROADCAST_IDS, Work, by_ids, hidden, mix, named, pieces, shared_dir, shingles, text_buffer, units, words
 from ridgeline.llm.components import components
 
 _DOC_BITS = 20
@@ -116,8 +116,12 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return t.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4, least: float = 0.5, driver_edges: int | None = None) -> DataFrame:
-    """(doc_id, kept_id, group_size) for every document that is a copy: its group's kept document is the one with the least doc_id.
+#: A bucket's members are compared in tasks of so many with all the others.
+SALT_ROWS = 2000
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4, least: float = 0.5, driver_edges: int | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(doc_id, kept_id, group_size, text_hash) for every document that is a copy: its group's kept document is the one with the least doc_id.
 
     A group is a connected component of the pairs with a probability Jaccard of `least` or more among all that share a band; with 40 bands
     of 4, a pair at 0.5 does so with probability 0.92, at 0.6 with 0.996. Documents with the same weighted set are joined without
@@ -125,15 +129,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4,
     one component by then, so that a band's pairs are all settled and copies in their thousands cost thousands of comparisons.
 
     Null or empty texts, and those without words, are in no group; texts of fewer than k words are one shingle. Rows with a null doc_id can't be named and
-    are left out; rows that repeat a doc_id are one document, never a copy of itself: exact copies of any of its texts
-    join it, and near copies are compared with the least of its texts in order.
+    are left out; rows that repeat doc_id and text are one document, never a copy of itself. Different texts under one doc_id are different documents,
+    all but the least in order of which are later than all others; which of them is a copy is told by text_hash, the xxhash64 of its text, which is null for all other documents.
     An empty table gives no rows. Other columns aren't read.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     work = Work(spark)
     cc = {} if driver_edges is None else {"driver_edges": driver_edges}
-    texts = lowered(docs).where("doc_id IS NOT NULL")
+    raw, names = units(docs, work)
+    texts = raw.select("doc_id", F.lower("text").alias("text"))
     sig = work.table(texts.mapInArrow(lambda it: _bands(it, k, bands, rows), "doc_id long, f1 long, f2 long, bands array<long>"))
     reps = sig.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     same = Window.partitionBy("f1", "f2")
@@ -148,12 +153,39 @@ def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4,
     first = verified(shared.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     label = components(first, work, **cc)
     m = shared.join(label, shared.rep == label.id, "left").select("bucket", "rep", "leader", F.coalesce("component", "rep").alias("c"))
-    m = m.withColumns({"c0": F.min("c").over(bucket), "c1": F.max("c").over(bucket)}).where("c0 < c1 AND rep > leader").select("bucket", "rep", "c")
+    m = m.withColumns({"c0": F.min("c").over(bucket), "c1": F.max("c").over(bucket), "salts": F.ceil(F.count("*").over(bucket) / salt_rows).cast("int")}).where("c0 < c1 AND rep > leader").select("bucket", "rep", "c", "salts")
     m = work.table(m)
-    pairs = m.alias("x").join(m.alias("y"), F.expr("x.bucket = y.bucket AND x.rep < y.rep AND x.c <> y.c")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    x = m.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    y = m.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = x.alias("x").join(y.alias("y"), F.expr("x.bucket = y.bucket AND x.salt = y.salt AND x.rep < y.rep AND x.c <> y.c")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     second = verified(pairs)
     label = components(first.select("a", "b").unionAll(second.select("a", "b")).unionAll(exact), work, **cc)
     size = label.groupBy("component").agg(F.count("*").alias("group_size"))
-    out = label.join(size, "component").where("id > component").select(F.col("id").alias("doc_id"), F.col("component").alias("kept_id"), "group_size").checkpoint()
+    out = label.join(size, "component").where("id > component").select(F.col("id").alias("doc_id"), F.col("component").alias("kept_id"), "group_size")
+    if names is None:
+        out = out.withColumn("text_hash", F.lit(None).cast("long"))
+    else:
+        hashes = by_ids(raw, names.select("unit"), "left_semi").select(F.col("doc_id").alias("_of"), F.xxhash64("text").alias("text_hash")).distinct()
+        out = named(out.join(hashes, F.col("doc_id") == F.col("_of"), "left").drop("_of"), names, "doc_id", "kept_id")
+    out = out.select("doc_id", "kept_id", "group_size", "text_hash").checkpoint()
     work.drop()
     return out
+
+
+def without_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of `docs` that aren't among `copies`, with one row of those that repeat doc_id and text (that whose columns come first as JSON).
+
+    Rows with a null doc_id stay, each of them, and so do null and empty texts. Columns may have any names and types, maps included; an empty table gives no rows.
+    """
+    id_, hash_, row_ = hidden(docs, "id", "hash", "row")
+    one = by_ids(docs, copies.where("text_hash IS NULL").select("doc_id"), "left_anti")
+    some = copies.where("text_hash IS NOT NULL").select("doc_id", "text_hash").toDF(id_, hash_).distinct()
+    n = some.count()
+    if n:
+        one = one.join(F.broadcast(some) if n <= BROADCAST_IDS else some, (one["doc_id"] == some[id_]) & (F.xxhash64(one["text"].cast("string")) == some[hash_]), "left_anti")
+    again = one.groupBy("doc_id", F.xxhash64(F.col("text").cast("string")).alias(hash_)).count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if again.isEmpty():
+        return one
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = by_ids(one, again, "left_semi").groupBy("doc_id", F.col("text").cast("string").alias(hash_)).agg(F.min_by(every, F.to_json(every)).alias(row_))
+    return by_ids(one, again, "left_anti").unionByName(repeated.select(*[F.col(row_)[c].alias(c) for c in docs.columns]))

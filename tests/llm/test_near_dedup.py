@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ridgeline.llm import near_dedup as nd
 from ridgeline.llm.common import Work, text_buffer
@@ -100,7 +101,26 @@ def test_components(spark):
     assert one == two and (130, 100) in one
 
 
+def test_texts_that_share_a_doc_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(prose(80, 700 + i)) for i in range(3))
+    a, b = sorted((a, b))
+    docs = spark.createDataFrame([(1, a, {"k": 1}), (1, b, {"k": 2}), (2, b, None), (3, c, {"k": 3}), (3, c, {"k": 4}), (0, c, None)], "doc_id long, text string, _id map<string,int>")
+    copies = nd.near_duplicates(docs)
+    got = sorted((r.doc_id, r.kept_id, r.text_hash is None) for r in copies.collect())
+    assert got == [(1, 2, False), (3, 0, True)]
+    left = sorted((r.doc_id, r.text) for r in nd.without_copies(docs, copies).collect())
+    assert left == sorted([(0, c), (1, a), (2, b)])
+    left = nd.without_copies(docs.where("doc_id = 3"), copies.where("false")).collect()
+    assert [(r.doc_id, r._id) for r in left] == [(3, {"k": 3})]
+
+
+@pytest.mark.parametrize("salt_rows", [3])
+def test_salted_buckets_settle_the_same_pairs(spark, salt_rows):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert set(nd.near_duplicates(df, salt_rows=salt_rows).collect()) == set(nd.near_duplicates(df).collect())
+
+
 def test_awkward_rows(spark, awkward):
     got = {tuple(r) for r in nd.near_duplicates(awkward).collect()}
-    assert got == {(2, 1, 2)}
+    assert got == {(2, 1, 2, None)}
     assert nd.near_duplicates(awkward.where("false")).count() == 0

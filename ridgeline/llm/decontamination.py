@@ -11,10 +11,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import lowered, pieces, shingles, text_buffer, words
+from ridgeline.llm.common import hidden, lowered, pieces, shingles, text_buffer, words
 
 K = 2  # words in a shingle
 BLOCKS, BLOCK_BITS = 4, 16
@@ -207,23 +208,29 @@ class Anchors:
         return best / total if best / total >= self.least else 0.0
 
 
+def _held(data: np.ndarray, offsets: np.ndarray, anchors: Anchors) -> dict[tuple[int, int], float]:
+    """The best similarity of each (text, item) of which it is `least` or more."""
+    h, _, _, at = words(data, offsets)
+    sh, so = shingles(h, at, K)
+    best: dict[tuple[int, int], float] = {}
+    pos, item = anchors.hits(sh)
+    text = np.searchsorted(so, pos, "right") - 1
+    order = np.lexsort((pos, item, text))
+    pos, item, text = pos[order], item[order], text[order]
+    far = np.diff(pos) > 2 * np.array(anchors.length, np.int64)[item[1:]]
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0) | far, [True]])) if pos.size else np.zeros(1, int)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        t, i = int(text[lo]), int(item[lo])
+        s = anchors.similarity(i, sh[max(pos[lo] - anchors.length[i] + 1, so[t]) : min(pos[hi - 1] + anchors.length[i], so[t + 1])])
+        if s > best.get((t, i), 0):
+            best[t, i] = s
+    return best
+
+
 def _search(batches: Iterator[pa.RecordBatch], anchors: Anchors) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in pieces(batch):
-            h, _, _, at = words(*text_buffer(b.column(1)))
-            sh, so = shingles(h, at, K)
-            best: dict[tuple[int, int], float] = {}
-            pos, item = anchors.hits(sh)
-            text = np.searchsorted(so, pos, "right") - 1
-            order = np.lexsort((pos, item, text))
-            pos, item, text = pos[order], item[order], text[order]
-            far = np.diff(pos) > 2 * np.array(anchors.length, np.int64)[item[1:]]
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0) | far, [True]])) if pos.size else np.zeros(1, int)
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                t, i = int(text[lo]), int(item[lo])
-                s = anchors.similarity(i, sh[max(pos[lo] - anchors.length[i] + 1, so[t]) : min(pos[hi - 1] + anchors.length[i], so[t + 1])])
-                if s > best.get((t, i), 0):
-                    best[t, i] = s
+            best = _held(*text_buffer(b.column(1)), anchors)
             rows = pa.array([t for t, _ in best], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([int(anchors.ids[i]) for _, i in best], pa.int64()), pa.array(list(best.values()), pa.float64())], ["doc_id", "item_id", "similarity"])
 
@@ -242,14 +249,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, ite
     Null or empty texts, and null doc_ids or item_ids, never match. Repeated rows give one result. One-word items match only one-word texts. Windows of
     a document shorter than an item are the whole document. Empty tables give no rows. Other columns aren't read.
     """
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     texts = lowered(docs).where("doc_id IS NOT NULL")
-    passes = max(1, -(-own.count() // items))
     found = None
-    for p in range(passes):
-        part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toPandas()
-        anchors = Anchors(part["item_id"].to_numpy(np.int64), *text_buffer(pa.array(part["text"], pa.large_string())), least)
-        shared = docs.sparkSession.sparkContext.broadcast(anchors)
+    for shared in _shared_anchors(docs.sparkSession, benchmark, least, items):
         hits = texts.mapInArrow(lambda it, shared=shared: _search(it, shared.value), "doc_id long, item_id long, similarity double")
         found = hits if found is None else found.unionAll(hits)
     return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, items: int = ITEMS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no benchmark item, as `contamination` finds them; each row is judged by its own text, in place.
+
+    Null and empty texts hold none and stay; so do rows without a doc_id unless their text holds one. Repeated rows stay or go together. Columns may have any names.
+    """
+    out = docs.withColumn(hidden(docs, "low")[0], F.lower(F.col("text").cast("string"))).toDF(*(f"c{i}" for i in range(len(docs.columns) + 1)))  # names with dots don't pass
+    for shared in _shared_anchors(docs.sparkSession, benchmark, least, items):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in pieces(batch, batch.schema.names[-1]):
+                    held = {t for t, _ in _held(*text_buffer(b.column(b.num_columns - 1)), shared.value)}
+                    yield b.filter(pa.array([t not in held for t in range(b.num_rows)], pa.bool_())) if held else b
+
+        out = out.mapInArrow(clean, out.schema)
+    return out.drop(out.columns[-1]).toDF(*docs.columns)
+
+
+def _shared_anchors(spark: SparkSession, benchmark: DataFrame, least: float, items: int) -> Iterator[Broadcast]:
+    """The items' anchors, broadcast, `items` or so at a time."""
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    passes = max(1, -(-own.count() // items))
+    for p in range(passes):
+        part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toPandas()
+        yield spark.sparkContext.broadcast(Anchors(part["item_id"].to_numpy(np.int64), *text_buffer(pa.array(part["text"], pa.large_string())), least))

@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, shared_dir
+from ridgeline.llm.common import Work, hidden, shared_dir
 
 
-def min_cost_flow(capacity: np.ndarray, edge_p: np.ndarray, edge_s: np.ndarray, quota: np.ndarray, repeats: int) -> np.ndarray:
-    """Flow on each (pattern, source) edge that meets the most quota and, of those flows, costs the least; whole tokens, exact.
+def min_cost_flow(capacity: np.ndarray, edge_p: np.ndarray, edge_s: np.ndarray, quota: np.ndarray, repeats: int | None = None) -> np.ndarray:
+    """Flow on each (pattern, source) edge that meets the most quota and, of those flows, costs the least; whole tokens, exact. Without `repeats`, any number of passes.
 
     The cost of a pattern's passes is convex and what patterns can send together is a polymatroid, so cheapest passes first is optimal: capacities
     grow pass by pass, and each time augmenting paths bring the flow to its maximum. Paths run over sources (few); every step of
@@ -43,8 +43,11 @@ def min_cost_flow(capacity: np.ndarray, edge_p: np.ndarray, edge_s: np.ndarray,
         before = np.cumsum(amounts) - amounts
         return np.clip(total - before, 0, amounts)
 
-    for turn in range(1, repeats + 1):
+    turn = 0
+    while turn != repeats and any(need[s] > 0 and capacity[edge_p[edges_of[s]]].any() for s in range(S)):
+        turn += 1
         room = capacity * turn - used
+        before = flow.copy(), used.copy(), need.copy()
         while True:
             parent: dict[int, int] = {s: -1 for s in range(S) if room[edge_p[edges_of[s]]].any()}
             queue, goal = list(parent), next((s for s in parent if need[s] > 0), None)
@@ -75,6 +78,11 @@ def min_cost_flow(capacity: np.ndarray, edge_p: np.ndarray, edge_s: np.ndarray,
                 flow[m] -= x
                 flow[o] += x
             need[goal] -= push
+        df, du, dn = flow - before[0], used - before[1], before[2] - need
+        if du.any() and not ((dn > 0) & (need == 0)).any():  # as long as no quota is full and no edge empty, the next passes go like this one
+            most = min([int((x[d > 0] // d[d > 0]).min()) for x, d in ((need, dn), (flow, -df)) if (d > 0).any()]) - 1
+            m = max(0, most if repeats is None else min(most, repeats - turn))
+            flow, used, need, turn = flow + m * df, used + m * du, need - m * dn, turn + m
     return flow
 
 
@@ -85,30 +93,32 @@ def quotas(tokens: np.ndarray, weights: dict[str, float] | None, names: list[str
     return [int(round(x * total)) for x in w]
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = 0.7, repeats: int = 4, seed: int = 17, slots: int = 4096) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = 0.7, repeats: int | None = None, seed: int = 17, slots: int = 4096) -> DataFrame:
     """The rows of `docs` chosen for the mixture, one for each text, with two more columns: `mix_source`, the source it counts for, and
     `mix_repeats`, how often it is to be read.
 
     weights: wanted share of each source (others get none); by default shares go with tokens ** temperature. total: tokens wanted; by default as many as
-    all different texts have. repeats: passes over a pattern's tokens at most. A token is a run of non-blanks. Quotas that no flow can fill are filled as far as possible.
+    all different texts have. repeats: passes over a pattern's tokens at most, if given; by default as many as the quotas need. A token is a run of
+    non-blanks. Quotas of sources without tokens, or beyond `repeats`, are filled as far as possible.
 
-    A text that stands in several rows counts once, under the row with the least doc_id (null last, then by source), for the pattern of all its
-    sources. Documents with the hash of (doc_id, text, seed) below a threshold are chosen, to the nearest document: the
+    A text that stands in several rows counts once, under the row with the least doc_id (null last, then by source, then by all columns as JSON), for the
+    pattern of all its sources. Documents with the hash of (doc_id, text, seed) below a threshold are chosen, to the nearest document: the
     threshold is found from `slots` sums, then exactly among the documents of one slot, so no pattern is ordered in one place.
-    Null sources are the source ''. Null texts and those without tokens are never chosen. Columns of `docs` named mix_source, mix_repeats, _h1 or _h2 are dropped. An empty table gives no rows.
+    Null sources are the source ''. Null texts and those without tokens are never chosen. Columns of `docs` named mix_source or mix_repeats are
+    replaced; others may have any names and types. An empty table gives no rows.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     work = Work(spark)
-    docs = docs.drop("mix_source", "mix_repeats", "_h1", "_h2")
+    docs = docs.drop("mix_source", "mix_repeats")
     text = F.col("text").cast("string")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     h1, h2 = F.xxhash64(text), F.xxhash64(text, F.lit(1))
     tokens = F.regexp_count(text, F.lit(r"\S+")).cast("long")
     slim = docs.where(text.isNotNull()).select(h1.alias("_h1"), h2.alias("_h2"), source.alias("_s"), F.col("doc_id").cast("long").alias("_id"), tokens.alias("_n")).where("_n > 0")
-    one = slim.groupBy("_h1", "_h2").agg(F.array_sort(F.collect_set("_s")).alias("_p"), F.min(F.struct(F.col("_id").isNull().alias("_z"), F.col("_id"), F.col("_s"))).alias("_first"), F.first("_n").alias("_n"))
+    one = slim.groupBy("_h1", "_h2").agg(F.array_sort(F.collect_set("_s")).alias("_p"), F.min(F.struct(F.col("_id").isNull().alias("_z"), F.col("_id"), F.col("_s"))).alias("_first"), F.first("_n").alias("_n"), (F.count("*") > 1).alias("_many"))
     u = F.xxhash64("_h1", "_h2", F.lit(seed))
-    one = one.select("_h1", "_h2", F.to_json("_p").alias("_p"), F.xxhash64("_p").alias("_pid"), F.col("_first._id").alias("_id"), F.col("_first._s").alias("_s"), "_n", u.alias("_u"), F.pmod(F.shiftright(u, 40), F.lit(slots)).alias("_slot"))
+    one = one.select("_h1", "_h2", F.to_json("_p").alias("_p"), F.xxhash64("_p").alias("_pid"), F.col("_first._id").alias("_id"), F.col("_first._s").alias("_s"), "_n", "_many", u.alias("_u"), F.pmod(F.shiftright(u, 40), F.lit(slots)).alias("_slot"))
     one = work.table(one)
     sums = one.groupBy("_pid").agg(F.min("_p").alias("_p"), F.sum("_n").alias("n")).orderBy("_p").toPandas()
     patterns = [json.loads(p) for p in sums["_p"]]
@@ -131,17 +141,26 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, total: int
         while at < end:
             turn = at // c
             stop = min(end, (turn + 1) * c)
-            rows.append((int(sums["_pid"][p]), names[edge_s[e]], turn, at - turn * c, stop - turn * c))
+            if at == turn * c and end - at >= 2 * c:  # whole passes in one row
+                stop = at + (end - at) // c * c
+                rows.append((int(sums["_pid"][p]), names[edge_s[e]], turn, (stop - at) // c, 0, c))
+            else:
+                rows.append((int(sums["_pid"][p]), names[edge_s[e]], turn, 1, at - turn * c, stop - turn * c))
             at = stop
-    plan = spark.createDataFrame(pd.DataFrame(rows, columns=["_pid", "mix_source", "turn", "lo", "hi"]).astype({"_pid": "int64", "turn": "int32", "lo": "int64", "hi": "int64"}), "_pid long, mix_source string, turn int, lo long, hi long")
+    plan = spark.createDataFrame(pd.DataFrame(rows, columns=["_pid", "mix_source", "turn", "times", "lo", "hi"]).astype({"_pid": "int64", "turn": "int64", "times": "int64", "lo": "int64", "hi": "int64"}), "_pid long, mix_source string, turn long, times long, lo long, hi long")
     by_slot = one.groupBy("_pid", "_slot").agg(F.sum("_n").alias("_m"))
     by_slot = by_slot.select("_pid", "_slot", (F.sum("_m").over(Window.partitionBy("_pid").orderBy("_slot")) - F.col("_m")).alias("_before"))
     inside = F.sum("_n").over(Window.partitionBy("_pid", "_slot").orderBy("_u", "_h1", "_h2"))
     placed = one.join(by_slot, ["_pid", "_slot"]).withColumn("_at", F.col("_before") + inside - F.floor((F.col("_n") + 1) / 2))
-    chosen = placed.join(plan, "_pid").where("_at >= lo AND _at < hi").groupBy("_h1", "_h2", "_id", "_s").agg(F.min_by("mix_source", "turn").alias("mix_source"), F.count("*").cast("int").alias("mix_repeats"))
+    chosen = placed.join(plan, "_pid").where("_at >= lo AND _at < hi").groupBy("_h1", "_h2", "_id", "_s", "_many").agg(F.min_by("mix_source", "turn").alias("mix_source"), F.sum("times").cast("int").alias("mix_repeats"))
     chosen = chosen.checkpoint()
     work.drop()
-    keyed = docs.where(text.isNotNull()).withColumns({"_h1": h1, "_h2": h2})
-    c = chosen.toDF("_c1", "_c2", "_cid", "_cs", "mix_source", "mix_repeats")
-    on = (keyed["_h1"] == c["_c1"]) & (keyed["_h2"] == c["_c2"]) & keyed["doc_id"].cast("long").eqNullSafe(c["_cid"]) & (F.coalesce(keyed["source"].cast("string"), F.lit("")) == c["_cs"])
-    return keyed.join(c, on).dropDuplicates(["_h1", "_h2"]).select(*docs.columns, "mix_source", "mix_repeats")
+    k1, k2, c1, c2, id_, s_, many, row = hidden(docs, "k1", "k2", "c1", "c2", "id", "s", "many", "row")
+    keyed = docs.where(text.isNotNull()).withColumns({k1: h1, k2: h2})
+    c = chosen.toDF(c1, c2, id_, s_, many, "mix_source", "mix_repeats")
+    on = (keyed[k1] == c[c1]) & (keyed[k2] == c[c2]) & keyed["doc_id"].cast("long").eqNullSafe(c[id_]) & (F.coalesce(keyed["source"].cast("string"), F.lit("")) == c[s_])
+    found = keyed.join(c, on)
+    every = F.struct(*[F.col(f"`{x}`") for x in docs.columns], "mix_source", "mix_repeats")
+    again = found.where(many).groupBy(k1, k2).agg(F.min_by(every, F.to_json(every)).alias(row))
+    columns = [*docs.columns, "mix_source", "mix_repeats"]
+    return found.where(~F.col(many)).select([F.col(f"`{x}`") for x in columns]).unionByName(again.select(*[F.col(row)[x].alias(x) for x in columns]))

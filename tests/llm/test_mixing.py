@@ -63,6 +63,27 @@ def test_flow_is_as_cheap_as_by_shortest_paths(seed):
     assert (int(sent.sum()), cost) == shortest_paths(capacity.tolist(), member, quota.tolist(), repeats)
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_many_passes_cost_as_little_as_by_shortest_paths(seed):
+    rng = np.random.default_rng(100 + seed)
+    P, S, repeats = rng.integers(1, 5), rng.integers(1, 4), 25
+    capacity = rng.integers(1, 6, P)
+    member = [sorted(rng.choice(S, rng.integers(1, S + 1), replace=False).tolist()) for _ in range(P)]
+    quota = rng.integers(0, 40, S) * rng.integers(0, 2, S)
+    edge_p = np.array([p for p in range(P) for _ in member[p]])
+    edge_s = np.array([s for m in member for s in m])
+    flow = min_cost_flow(capacity, edge_p, edge_s, quota, repeats)
+    sent = np.bincount(edge_p, flow, P).astype(int)
+    cost = sum(int(np.clip(sent - r * capacity, 0, capacity).sum()) * (r * (r + 1) // 2) for r in range(repeats))
+    assert (flow >= 0).all() and (np.bincount(edge_s, flow, S) <= quota).all() and (sent <= capacity * repeats).all()
+    assert (int(sent.sum()), cost) == shortest_paths(capacity.tolist(), member, quota.tolist(), repeats)
+
+
+def test_a_quota_of_many_times_its_source_is_met():
+    flow = min_cost_flow(np.array([3, 10**9]), np.array([0, 1]), np.array([0, 1]), np.array([10**9, 5]))
+    assert flow.tolist() == [10**9, 5]
+
+
 def rows(n=400):
     out = [(i, f"text {i} " + "w " * (i % 13), "ab"[i % 2], "x") for i in range(n)]
     return out + [(n + i, out[i][1], "c", "x") for i in range(0, 40)]

@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ridgeline.llm import ann, decontamination, html_extraction, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filters
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_read(spark, sf_dir, "documents"))
+    """The vocabulary's path is the session's setting ridgeline.tokenizer."""
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), spark.conf.get("ridgeline.tokenizer", TOKENIZER))
 
 
 def op2_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ import base64
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.common import text_buffer
+
 #: The pre-tokenizer of byte-level BPE vocabularies. It never joins a single space to the non-space before it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -42,11 +45,11 @@ def encoder(ranks: bytes):
     return _ENCODERS[key]
 
 
-def token_counts(docs: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", key: str = "doc_id", text: str = "text", batch_chars: int = 1 << 20, most_chars: int = 1 << 18) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", batch_bytes: int = 1 << 20, most_bytes: int = 1 << 18) -> DataFrame:
     """(key, n_tokens) for every row of `docs`.
 
     tokenizer: a vocabulary file read once on the driver and broadcast (its size doesn't depend on the data).
-    batch_chars: rows are encoded together up to so many characters; most_chars: longer texts are split at safe boundaries first.
+    batch_bytes: texts are encoded together up to so many bytes of UTF-8, in batches of about the same size; most_bytes: longer texts are split at safe boundaries first.
     Null text: null count. Empty text: 0. Null keys and repeated rows are kept, one output row for each input row. Other columns of
     `docs`, whatever their names, are neither read nor returned. No shuffle.
     """
@@ -56,27 +59,28 @@ def token_counts(docs: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value).encode_ordinary_batch
         for b in batches:
-            texts, lengths = b.column(1).to_pylist(), [None] * b.num_rows
-            queue: list[tuple[int, str]] = []
-            chars = 0
-
-            def flush() -> None:
-                for (row, _), tokens in zip(queue, encode([t for _, t in queue], num_threads=1)):
-                    lengths[row] += len(tokens)
-                queue.clear()
-
-            for row, t in enumerate(texts):
-                if t is None:
-                    continue
-                lengths[row] = 0
-                for part in split_safely(t, most_chars) if len(t) > most_chars else [t]:
-                    if chars + len(part) > batch_chars and queue:
-                        flush()
-                        chars = 0
-                    queue.append((row, part))
-                    chars += len(part)
-            if queue:
-                flush()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64())], [key, "n_tokens"])
+            size = np.diff(text_buffer(b.column(1))[1])
+            rows, parts, sizes = [], [], []
+            for row, t in enumerate(b.column(1).to_pylist()):
+                if t is not None:
+                    # a character has 1 to 4 bytes, so pieces of this many characters have about most_bytes
+                    own = split_safely(t, max(1, most_bytes * len(t) // int(size[row]))) if size[row] > most_bytes else [t]
+                    rows += [row] * len(own)
+                    parts += own
+                    sizes += [len(x.encode()) for x in own] if len(own) > 1 else [int(size[row])]
+            lengths = np.zeros(b.num_rows, np.int64)
+            for i, j in balanced(np.array(sizes, np.int64), batch_bytes):
+                np.add.at(lengths, rows[i:j], [len(x) for x in encode(parts[i:j], num_threads=1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, mask=np.asarray(b.column(1).is_null()))], [key, "n_tokens"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(count, f"{key} long, n_tokens long")
+
+
+def balanced(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of successive pieces whose bytes are about the same in each, and about `most` at most but for larger single pieces."""
+    if not sizes.size:
+        return []
+    total = np.cumsum(sizes)
+    n = max(1, -(-int(total[-1]) // most))
+    cut = np.unique(np.concatenate([[0], np.searchsorted(total, total[-1] * np.arange(1, n) / n, "right"), [sizes.size]]))
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist()))

@@ -256,14 +256,19 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, o
 
 
-def fit(pages: DataFrame, docs: DataFrame, sample: int = 400) -> Labeller | None:
-    """A labeller trained on at most `sample` pages, those whose url hashes least, as far as `docs` has the document numbered in the url. None without any."""
-    number = F.expr("try_cast(regexp_extract(url, '[.][a-z]+/[a-z]+/([0-9]+)', 1) AS bigint)")
-    chosen = pages.select("page_id", "url", number.alias("n")).where("n IS NOT NULL AND page_id IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(sample).toPandas()
+#: The number of the document that a page shows, in its url: last of its path, after a language.
+DOCUMENT_NUMBER = "[.][a-z]+/[a-z]+/([0-9]+)"
+
+
+def fit(pages: DataFrame, docs: DataFrame, sample: int = 400, number: str = DOCUMENT_NUMBER) -> Labeller | None:
+    """A labeller trained on at most `sample` pages, those whose url hashes least, as far as `docs` has the document whose doc_id is the first group
+    of `number` in the url. Of several pages of one page_id, or texts of one doc_id, the least counts. None without any."""
+    found = F.expr(f"try_cast(regexp_extract(url, '{number}', 1) AS bigint)")
+    chosen = pages.select("page_id", "url", found.alias("n")).where("n IS NOT NULL AND page_id IS NOT NULL").distinct().orderBy(F.xxhash64("url"), "url", "page_id").limit(sample).toPandas()
     if not len(chosen):
         return None
-    texts = {r.doc_id: r.text for r in docs.where(F.col("doc_id").isin([int(n) for n in chosen["n"].unique()])).where("text IS NOT NULL").select("doc_id", "text").collect()}
-    html = {r.page_id: r.html for r in pages.where(F.col("page_id").isin([int(n) for n in chosen["page_id"].unique()])).where("html IS NOT NULL").select("page_id", "html").collect()}
+    texts = {r.doc_id: r.text for r in docs.where(F.col("doc_id").isin([int(n) for n in chosen["n"].unique()])).where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    html = {r.page_id: r.html for r in pages.where(F.col("page_id").isin([int(n) for n in chosen["page_id"].unique()])).where("html IS NOT NULL").groupBy("page_id").agg(F.min("html").alias("html")).collect()}
     known = [(blocks(html[p]), texts[n]) for p, n in zip(chosen["page_id"], chosen["n"]) if p in html and n in texts]
     if not known:
         return None
@@ -271,13 +276,13 @@ def fit(pages: DataFrame, docs: DataFrame, sample: int = 400) -> Labeller | None
     return train(x, offsets, np.concatenate([block_labels(b, t) for b, t in known]))
 
 
-def extract(pages: DataFrame, docs: DataFrame, least: float = 0.5, sample: int = 400) -> DataFrame:
+def extract(pages: DataFrame, docs: DataFrame, least: float = 0.5, sample: int = 400, number: str = DOCUMENT_NUMBER) -> DataFrame:
     """(page_id, text, n_blocks, n_kept) of every row of `pages`: text is its content blocks, one to a line.
 
     Null html: null text and no blocks. Html without visible text: empty text. Without any page whose document is known (or with empty tables), every block is kept.
     Null page_ids and repeated rows give a row each. Pages of any number of blocks are labelled in one sequence. Other columns aren't read. No shuffle of pages.
     """
-    model = pages.sparkSession.sparkContext.broadcast(fit(pages, docs, sample))  # of fixed size
+    model = pages.sparkSession.sparkContext.broadcast(fit(pages, docs, sample, number))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

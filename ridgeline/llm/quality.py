@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import _IS_WORD, _splitmix, by_ids, mix, pieces, text_buffer, words, words_of
@@ -102,7 +103,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for b in pieces(batch):
             text, term = terms(*text_buffer(b.column(1)))
             own = [np.unique(term[text == i]).view(np.int64) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "h", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, latent: int = 48, k: int = 9, chance: float = 16.0) -> Model | None:
@@ -112,12 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, latent: int = 48
     kind = F.when(F.col("toxic") != 0, 1).when(F.col("quality") == 0, 2).otherwise(0)
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind"))
     own = own.groupBy("doc_id").agg(F.max("kind").alias("kind"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = own.withColumn("r", rank).where(F.col("r") <= F.when(F.col("kind") == 0, sample // 2).otherwise(sample // 4)).select("doc_id", "kind").toPandas()
+    chosen = pd.concat([own.where(F.col("kind") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // (4 if c else 2)).toPandas() for c in range(3)])  # the first of each task, merged
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen[["doc_id"]].astype("int64"), "doc_id long")
-    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL"), ids, "left_semi")
-    t = texts.mapInArrow(_sample_terms, "doc_id long, terms array<long>").toArrow().combine_chunks()
+    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h")).where("text IS NOT NULL"), ids, "left_semi")
+    t = texts.mapInArrow(_sample_terms, "doc_id long, h long, terms array<long>").toArrow().combine_chunks()
+    t = t.take(pa.array(np.lexsort((t.column("h").to_numpy(), t.column("doc_id").to_numpy()))))  # of several texts, the one whose hash is least
     ids, first = np.unique(t.column("doc_id").to_numpy(), return_index=True)
     if not ids.size:
         return None
@@ -180,6 +181,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.4, sampl
 
     Texts that are null or without any word or symbol have a null score and aren't kept. Without labelled documents nothing is known:
     every score is null, and texts with words are kept. Labels whose columns hold nulls don't count; of several label rows of a document, the worst does.
+    Of several texts under a labelled doc_id, the model learns from that whose hash is least.
     Null doc_ids and repeated rows give a row each. Ties: those as near as the k-th share the votes left. Other columns aren't read. No shuffle of texts.
     """
     model = fit(docs, labels, sample, **fitting)
@@ -193,9 +195,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.4, sampl
 
 def quality_filter(docs: DataFrame, labels: DataFrame, least: float = 0.4, sample: int = 4096, **fitting) -> DataFrame:
     """The rows of `docs`, with all their columns, that `quality_scores` keeps; each row is judged by its own text, in place, without a join.
-    Rows with a null doc_id go. Columns' names don't matter but for doc_id and text; a column named _keep_ is dropped."""
+    Rows with a null doc_id go. Columns may have any other names; repeated rows go or stay together; an empty table gives no rows."""
     model = fit(docs, labels, sample, **fitting)
-    docs = docs.drop("_keep_").where("doc_id IS NOT NULL")
+    docs = docs.where("doc_id IS NOT NULL")
     if model is None:
         return docs.where(F.length(F.trim("text")) > 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -203,8 +205,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, least: float = 0.4, sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch):
+            for b in pieces(batch, f"c{at}"):
                 s = shared.value.scores(*text_buffer(b.column(at)))
                 yield b.filter(pa.array(np.nan_to_num(s, nan=-1.0) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots don't pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

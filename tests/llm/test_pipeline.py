@@ -45,9 +45,11 @@ def test_every_stage_on_its_own_input(spark, folder):
 
     once = stages["near_dedup"](spark, docs, folder)
     gone = {r.doc_id for r in near_dedup.near_duplicates(docs).collect()}
-    left = [r.doc_id for r in once.collect() if r.doc_id is not None]
-    assert once.columns == columns and len(left) == len(set(left)) and set(range(200, 210)) <= gone and not gone & set(left)
-    assert set(left) == {r.doc_id for r in docs.collect() if r.doc_id is not None} - gone
+    rows = [(r.doc_id, r.text) for r in once.collect() if r.doc_id is not None]
+    left = {d for d, _ in rows}
+    assert once.columns == columns and len(rows) == len(set(rows)) and set(range(200, 210)) <= gone and not gone & left
+    assert left == {r.doc_id for r in docs.collect() if r.doc_id is not None} - gone
+    assert len([d for d, _ in rows if d == 1]) == 2  # two different texts
 
     cut = stages["substring_dedup"](spark, docs, folder)
     text = {r.doc_id: r.text for r in cut.collect()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontamination, mixing, near_dedup, quality, substring_dedup
-from ridgeline.llm.common import Work, by_ids
+from ridgeline.llm.common import Work
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,29 +16,26 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, and one row of each doc_id (of several texts, the least in order)."""
-    kept = by_ids(docs, near_dedup.near_duplicates(docs).select("doc_id"), "left_anti")
-    again = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = by_ids(kept, again, "left_anti")
-    return once.unionByName(by_ids(kept, again, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r")).select("doc_id", "_r.*").select(*docs.columns))
+    """Keeps one document of each group of near copies, and one row of each doc_id and text. Different texts under one doc_id all stay unless they are copies;
+    so do rows without a doc_id, null and empty texts. Columns may have any names and types; an empty table gives no rows."""
+    return near_dedup.without_copies(docs, near_dedup.near_duplicates(docs))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out of documents that repeat one of a document with a lesser doc_id; documents of which nothing is left go."""
+    """Cuts passages out of documents that repeat one of a document with a lesser doc_id; documents of which nothing is left go. Null and empty texts and rows
+    without a doc_id stay as they are; rows that repeat doc_id and text are cut alike; columns may have any names; an empty table gives no rows."""
     return substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    hits = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    work = Work(spark)
-    ids = work.table(hits.select("doc_id").distinct()).checkpoint()
-    work.drop()
-    return by_ids(docs, ids, "left_anti")
+    """Drops the rows whose text holds a benchmark item. Null and empty texts hold none; repeated rows go or stay together; columns may have any names;
+    an empty table, or an empty benchmark, drops nothing."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chooses documents so that sources have the shares of their tokens to the power 0.7, with mix_source and mix_repeats."""
+    """Chooses documents so that sources have the shares of their tokens to the power 0.7, with mix_source and mix_repeats. Rows of one text count once;
+    null texts and those without tokens are never chosen; a null source is the source ''; columns may have any other names; an empty table gives no rows."""
     return mixing.mixture(docs)
 
 
@@ -50,7 +47,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: Neither the classifier, nor ProbMinHash, nor chaining, nor SimHash, nor the flow can be said in SQL; tests compare each stage with brute force.
+#: Neither the classifier, nor ProbMinHash, nor chaining, nor weighted windows, nor the flow can be said in SQL.
 ORACLE_SQL = None
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, text_buffer, units, words
+from ridgeline.llm.common import BROADCAST_IDS, Work, by_ids, hidden, mix, named, pieces, shared_dir, text_buffer, units, words
 
 _POS = np.uint64((1 << 24) - 1)
 GAP_COST = 0.1  # for each word of either document between two seeds of a chain
@@ -311,10 +311,13 @@ def _loose(spans: DataFrame, least: int, slack: int) -> DataFrame:
     return parts.join(short, "b").where("first >= lo AND first < hi").select("b", "lo", "hi").distinct()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the pairs of seeds of one document that begin `low` to `high` words apart. Rows (doc, pos, key, reach) come in the order of
-    (doc, pos); pairs that end within the first one's reach are left out."""
+def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Hashes of the pairs of seeds of one document that begin `low` to `high` words apart, if they are among those `wanted` (sorted; None: all).
+    Rows (doc, pos, key, reach) come in the order of (doc, pos); pairs that end within the first one's reach are left out."""
     held: list[np.ndarray] = []
+    if wanted is not None:
+        some = np.zeros(1 << max(16, (8 * wanted.size).bit_length()), bool)  # most pairs are told apart by this alone
+        some[wanted & (some.size - 1)] = True
 
     def of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
         turn = np.concatenate([[True], m[0][1:] != m[0][:-1]])
@@ -327,8 +330,18 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> It
             two = np.repeat(lo[i:j], n[i:j]) + np.arange(one.size) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
             ok = m[1][two] + k > m[3][one]
             one, two = one[ok], two[ok]
-            key = mix(m[2][one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + m[2][two].view(np.uint64), 35)
-            yield pa.RecordBatch.from_arrays([pa.array(m[0][one]), pa.array(key.view(np.int64))], ["doc", "pair"])
+            key = mix(m[2][one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + m[2][two].view(np.uint64), 35).view(np.int64)
+            doc = m[0][one]
+            if wanted is not None:
+                ok = some[key & (some.size - 1)]
+                key, doc = key[ok], doc[ok]
+                ok = np.isin(key, wanted)
+                key, doc = key[ok], doc[ok]
+            if key.size:
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(key[new])], ["doc", "pair"])
 
     for batch in batches:
         m = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)])
@@ -347,9 +360,13 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> It
         yield from of(np.concatenate(held, axis=1))
 
 
-def _pairs_of(seeds: DataFrame, k: int, low: int, high: int) -> DataFrame:
+def _pairs_of(seeds: DataFrame, k: int, low: int, high: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, pair) of the pairs of seeds, if they are in `wanted`, a written table, whose pairs are broadcast up to BROADCAST_IDS of them."""
     rows = seeds.select("doc", "pos", "key", "reach").repartition("doc").sortWithinPartitions("doc", "pos")
-    return rows.mapInArrow(lambda it: _pairs(it, k, low, high), "doc long, pair long").distinct()
+    few = wanted is not None and wanted.count() <= BROADCAST_IDS
+    shared = seeds.sparkSession.sparkContext.broadcast(np.unique(wanted.toPandas()["pair"].to_numpy(np.int64))) if few else None
+    pairs = rows.mapInArrow(lambda it: _pairs(it, k, low, high, shared.value if few else None), "doc long, pair long").distinct()
+    return pairs if wanted is None or few else pairs.join(wanted.select("pair").distinct(), "pair", "left_semi")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 5, identity: float = 0.7, slack: int = 5) -> DataFrame:
@@ -368,7 +385,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     shared_dir(spark)
     work = Work(spark)
     texts, names = units(docs, work)
-    near = min(max(k, 2 * least // 5), max(k, least - 2 * (k + window - 1)))  # seeds may begin and end so much later and earlier than a passage
+    near = max(k, min(2 * least // 5, least - 2 * (k + 2 * window - 1)))  # seeds may begin and end so much later and earlier than a passage
     chain = "b long, a long, parts array<int>"
     seeds = texts.mapInArrow(lambda it: _seeds(it, k, window), "key long, b long, pb int, more array<struct<b: long, pb: int>>")
     order = Window.partitionBy("key").orderBy("b", "pb")
@@ -382,24 +399,25 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     # short pieces that only together are long enough: another document may hold all of them, and then has seeds of two pieces about as far apart
     parts = work.table(_loose(spans, least, slack))
     if not parts.isEmpty():
-        asked = by_ids(texts, parts.select("b"), "left_semi").mapInArrow(lambda it: _occurrences(it, k, window), "key long, b long, at int")
+        seldom = 2 * window  # fewer seeds will do: a passage has some near both of its ends
+        asked = by_ids(texts, parts.select("b"), "left_semi").mapInArrow(lambda it: _occurrences(it, k, seldom), "key long, b long, at int")
         asked = work.table(asked.join(parts, "b").where(F.col("at").between(F.col("lo"), F.col("hi") - k)).select("key", "b", "at").distinct())
-        there = work.table(by_ids(texts.mapInArrow(lambda it: _occurrences(it, k, window), "key long, doc long, pos int"), asked.select("key"), "left_semi", "key"))
-        others = work.table(_pairs_of(there.withColumn("reach", F.lit(0)), k, near // 2, least + near).select("pair", F.col("doc").alias("a")))
-        for first in (True, False):  # each pair's first document; then, for pairs that this one doesn't align with, all that have it
+        there = work.table(by_ids(texts.mapInArrow(lambda it: _occurrences(it, k, seldom), "key long, doc long, pos int"), asked.select("key"), "left_semi", "key"))
+        others = None
+        while True:  # each pair's first document; then, for pairs that this one doesn't align with, all that have it
             own = _reach(asked, spans).withColumnRenamed("b", "doc").withColumnRenamed("at", "pos")
-            own = work.table(_pairs_of(own, k, near, least).toDF("b", "pair"))
-            have = by_ids(others, own.select("pair"), "left_semi", "pair")
-            have = have.groupBy("pair").agg(F.min("a").alias("a")) if first else have
+            own = work.table(_pairs_of(own, k, near, least).select(F.col("doc").alias("b"), "pair"))
+            first = others is None
+            if first:
+                others = work.table(_pairs_of(there.withColumn("reach", F.lit(0)), k, near // 2, least + near, own).select("pair", F.col("doc").alias("a")))
+            have = others.groupBy("pair").agg(F.min("a").alias("a")) if first else others
             links = work.table(own.join(have, "pair").where("a < b").select("b", "a").distinct())
             found = links.join(asked, "b").join(there.select("key", F.col("doc").alias("a"), F.col("pos").alias("pa")), ["key", "a"]).select("b", "a", F.col("at").alias("pb"), "pa")
             found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa")
-            chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 20, near, True), chain))
+            chained = work.table(found.mapInArrow(lambda it: _chain(it, k, seldom, slack + 20, near, True), chain))
             spans = work.table(spans.unionAll(_aligned(texts, chained, identity)).distinct())
-            if not first:
-                break
-            parts = work.table(_loose(spans, least, slack))
-            if parts.isEmpty():
+            parts = work.table(_loose(spans, least, slack)) if first else None
+            if not first or parts.isEmpty():
                 break
             asked = work.table(asked.join(parts, "b").where(F.col("at").between(F.col("lo"), F.col("hi") - k)).select("key", "b", "at").distinct())
     spans = _islands(spans.where(F.col("last") - F.col("first") >= least), slack)

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -10,7 +12,7 @@ def agree(spark, docs, labels, **options):
     con.register("documents", docs.select("doc_id", "text").toPandas())
     con.register("labels", labels.toPandas())
     con.sql("SET threads = 2")
-    sql = lm_scoring.cross_entropy_difference_sql(**{k: v for k, v in options.items() if k in ("min_share", "weight")})
+    sql = lm_scoring.cross_entropy_difference_sql(**{k: v for k, v in options.items() if k == "weight"})
     want = {r[0]: (r[1], r[2]) for r in con.sql(f"SELECT doc_id, n_words, score FROM ({sql})").fetchall()}
     assert set(got) == set(want)
     for d, (n, s) in want.items():
@@ -21,10 +23,21 @@ def agree(spark, docs, labels, **options):
 def test_scores_are_those_of_sql(spark, awkward, shard_words):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (9, 1, 0), (9, 1, 0), (6, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs = awkward.where("doc_id <> 7 OR doc_id IS NULL")
-    agree(spark, docs, labels, min_share=0.02, shard_words=shard_words)
+    agree(spark, docs, labels, min_share=0.02, shard_words=shard_words)  # nearly all words are rare
+    agree(spark, docs, labels, min_share=1.0, shard_words=shard_words)
+    agree(spark, docs, labels, shard_words=shard_words, hot_pairs=1)
     agree(spark, docs, labels, shard_words=shard_words)
 
 
+@pytest.mark.parametrize("options", [{}, {"min_share": 0.002, "shard_words": 3000}, {"min_share": 0.0005, "hot_pairs": 20, "shard_words": 5000}])
+def test_mixed_words_by_sql(spark, options):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(0, 90)))) for i in range(300)] + [(7, "w1 w2 more words"), (301, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    agree(spark, docs, labels, **options)
+
+
 def test_very_long_text_and_no_labels(spark, awkward):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(awkward, labels).collect()}

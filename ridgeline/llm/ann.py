@@ -2,7 +2,8 @@
 
 A vector (scaled to unit length) belongs to its nearest coarse centroid; what is left is quantised in `parts` pieces of few dimensions, a byte
 each. A query reads the lists of the centroids nearest to it: by tables of its products with every piece's codewords, a code's similarity is a
-sum of table entries. The best `oversample` * k codes are compared exactly. How many lists to read is found from queries whose true neighbours are computed.
+sum of table entries. All codes that may be among the k nearest, as far off as codes are, are compared exactly. How many lists to read is found from queries whose
+true neighbours are computed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import Work, shared_dir
@@ -58,6 +59,13 @@ class Quantiser:
         r = self.split(x - self.centroids[lists])
         return lists, np.stack([nearest(r[:, p], self.words[p]) for p in range(r.shape[1])], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes leave out of each vector."""
+        r = self.split(x - self.centroids[lists])
+        for p in range(r.shape[1]):
+            r[:, p] -= self.words[p][codes[:, p]]
+        return np.sqrt((r * r).sum(axis=(1, 2)))
+
     def probes(self, q: np.ndarray) -> np.ndarray:
         """Lists in the order of their centroids' distance to each query."""
         return np.argsort((self.centroids * self.centroids).sum(1) / 2 - q @ self.centroids.T, axis=1, kind="stable")
@@ -72,7 +80,7 @@ def fit(sample: np.ndarray, lists: int, parts: int, seed: int = 3) -> Quantiser:
     width = -(-sample.shape[1] // parts)
     z = Quantiser(kmeans(sample, lists, 8, seed), np.zeros((parts, 256, width), np.float32), width)
     r = z.split(sample - z.centroids[nearest(sample, z.centroids)])
-    z.words = np.stack([kmeans(r[:8192, p], 256, 6, seed + p) for p in range(parts)])
+    z.words = np.stack([kmeans(r[:CODEWORD_ROWS, p], 256, 6, seed + p) for p in range(parts)])
     return z
 
 
@@ -84,64 +92,68 @@ def scan(tables: np.ndarray, base: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return s
 
 
-def _best(qi: np.ndarray, ids: np.ndarray, s: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `most` best rows of each query (similarity, then id)."""
-    order = np.lexsort((ids, -s, qi))
-    qi, ids, s = qi[order], ids[order], s[order]
-    rank = np.arange(qi.size) - np.searchsorted(qi, qi)
-    keep = rank < most
-    return qi[keep], ids[keep], s[keep]
+def _worth(best: np.ndarray, s: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes may be among a query's nearest: their estimate plus margin reaches the least of `best`, the greatest estimates less margin so far,
+    which are returned anew."""
+    low = s - margin
+    k = best.shape[1]
+    top = low if low.shape[1] <= k else np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k :]
+    both = np.concatenate([best, top], axis=1)
+    best = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+    return s + margin >= best.min(axis=1, keepdims=True), best
 
 
-def _scan_local(batches: Iterator[pa.RecordBatch], z: Quantiser, index: dict, probes: int, most: int) -> Iterator[pa.RecordBatch]:
+def _scan_local(batches: Iterator[pa.RecordBatch], z: Quantiser, index: dict, probes: int, k: int) -> Iterator[pa.RecordBatch]:
     """Every query against all its lists, which are at hand."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            b = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 64):
+            b = batch.slice(at, 64)
             q, ids = _matrix(b.column(1)), np.asarray(b.column(0))
             near = z.probes(q)[:, :probes]
-            tables, base = z.tables(q), q @ z.centroids.T
+            tables, base, length = z.tables(q), q @ z.centroids.T, np.linalg.norm(q, axis=1, keepdims=True)
             wanted = np.zeros((len(q), len(z.centroids)), bool)
             np.put_along_axis(wanted, near, True, axis=1)
-            qs, vs, ss, held = [], [], [], 0
-            for c in np.flatnonzero(wanted.any(axis=0)):
-                if int(c) not in index:
+            best = np.full((len(q), k), -np.inf, np.float32)
+            held: list[tuple] = []
+            for c in np.argsort(-wanted.sum(axis=0), kind="stable"):
+                if not wanted[:, c].any() or int(c) not in index:
                     continue
-                vid, codes = index[int(c)]
+                vid, codes, margin = index[int(c)]
                 rows = np.flatnonzero(wanted[:, c])
-                s = scan(tables[rows], base[rows, c], codes)
-                m = min(most + 1, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(rows), 1))
-                qs.append(np.repeat(rows, m))
-                vs.append(vid[top].ravel())
-                ss.append(np.take_along_axis(s, top, 1).ravel())
-                held += qs[-1].size
-                if held > 400_000:
-                    x = _best(*(np.concatenate(y) for y in (qs, vs, ss)), len(q), most + 1)
-                    qs, vs, ss, held = [x[0]], [x[1]], [x[2]], x[0].size
-            qi, v, s = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (qs, vs, ss))
-            other = ids[qi] != v if qi.size else np.zeros(0, bool)
-            qi, v, _ = _best(qi[other], v[other], s[other], len(q), most)
+                for lo in range(0, len(vid), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    s, m = scan(tables[rows], base[rows, c], codes[part]), margin[None, part] * length[rows]
+                    ok, best[rows] = _worth(best[rows], s, m)
+                    i, j = np.nonzero(ok)
+                    held.append((rows[i], vid[part][j], (s + m)[i, j]))
+                if sum(h[0].size for h in held) > 2_000_000:
+                    held = [_still(held, best)]
+            qi, v, _ = _still(held, best)
             yield pa.RecordBatch.from_arrays([pa.array(ids[qi].astype(np.int64)), pa.array(v.astype(np.int64))], ["q", "v"])
 
 
-def _scan_group(key, queries: pa.Table, codes: pa.Table, z: Quantiser, most: int) -> pa.Table:
+def _still(held: list[tuple], best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes that reach the bound as it is now."""
+    qi, v, high = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    ok = high >= best.min(axis=1)[qi]
+    return qi[ok], v[ok], high[ok]
+
+
+def _scan_group(key, queries: pa.Table, codes: pa.Table, z: Quantiser, k: int) -> pa.Table:
     """The queries that read one piece of a list against its codes."""
     out = []
     vid = np.asarray(codes.column("vec_id").combine_chunks())
     code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(vid), -1)
-    for at in range(0, queries.num_rows if len(vid) else 0, 256):
-        b = queries.slice(at, 256)
+    margin = np.asarray(codes.column("margin").combine_chunks())
+    for at in range(0, queries.num_rows if len(vid) else 0, 64):
+        b = queries.slice(at, 64)
         q, ids = _matrix(b.column("v")), np.asarray(b.column("q").combine_chunks())
-        s = scan(z.tables(q), q @ z.centroids[key[0].as_py()], code)
-        s[ids[:, None] == vid[None, :]] = -np.inf
-        m = min(most, s.shape[1])
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(ids), 1))
-        best = np.take_along_axis(s, top, 1)
-        ok = np.isfinite(best)
-        out.append((np.repeat(ids, m).reshape(len(ids), m)[ok], vid[top][ok], best[ok]))
-    q, v, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
-    return pa.table({"q": q.astype(np.int64), "v": v.astype(np.int64), "s": s.astype(np.float32)})
+        s, m = scan(z.tables(q), q @ z.centroids[key[0].as_py()], code), margin[None, :] * np.linalg.norm(q, axis=1, keepdims=True)
+        ok, _ = _worth(np.full((len(q), k), -np.inf, np.float32), s, m)
+        i, j = np.nonzero(ok)
+        out.append((ids[i], vid[j], (s - m)[i, j], (s + m)[i, j]))
+    q, v, low, high = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),) * 2
+    return pa.table({"q": q.astype(np.int64), "v": v.astype(np.int64), "low": low.astype(np.float32), "high": high.astype(np.float32)})
 
 
 def _true_lists(batches: Iterator[pa.RecordBatch], z: Quantiser, q: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -177,52 +189,75 @@ def _rerank_local(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndar
 BROADCAST_BYTES = 64 << 20
 
 
-def neighbours(table: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", parts: int = 32, oversample: int = 6, recall: float = 0.97, calibrate: int = 512, most_lists: int = 4096, shard: int = 50_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(vec_id, neighbour_id, rank, similarity): for every row its k most cosine-similar other rows, by similarity, then id.
+#: Rows of the sample that the codewords are learned from.
+CODEWORD_ROWS = 32_768
 
-    There are about sqrt(n) lists (most_lists at most; long lists are searched in shards of about `shard` codes). Centroids are learned from 64 vectors a list,
-    codewords from 8,192 of those. `recall` sets how many lists are read: so many that they hold this share of the true neighbours of
-    `calibrate` queries, which are compared with all vectors. Vectors without structure need most of the lists; clustered ones few.
 
-    Null keys, null vectors, vectors holding nulls or of another length than most aren't searched or found. Of rows that repeat a key, one counts. Zero vectors
-    have similarity 0. With k or fewer other rows, there are fewer neighbours; an empty table gives no rows. Other columns aren't read.
+def neighbours(table: DataFrame, k: int = 10, asked: Column | None = None, key: str = "vec_id", column: str = "embedding", parts: int = 32, margin: float = 3.0, recall: float = 0.97, calibrate: int = 512, sample: int = 262_144, shard: int = 50_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(vec_id, neighbour_id, rank, similarity): for every row that `asked`, a condition, holds of (by default all), its k most cosine-similar other
+    rows of the whole table, by similarity, then id.
+
+    There are about sqrt(n) lists, but one for 16 rows of the sample at most; long lists are searched in shards of about `shard` codes. Centroids are learned
+    from 64 vectors a list, `sample` in all at most, and codewords from 32,768 of those at most; every row is indexed. `recall` sets how many lists are
+    read: so many that they hold this share of the true neighbours of `calibrate` queries, which are compared with all vectors. Vectors without structure
+    need most of the lists; clustered ones few. An estimate is off by about the length of what the code leaves out over the root of the dimensions; `margin` times
+    that either way decides which codes may be among the k nearest, and all of these are compared exactly, however many. Equal vectors are searched for once.
+
+    Null keys, null or empty vectors and vectors holding nulls or nan aren't searched or found. Vectors are compared with those of their own length.
+    Of rows that repeat a key, the one with the least vector counts. Zero vectors have similarity 0. With k or fewer other rows, there are fewer
+    neighbours; an empty table gives no rows. Other columns aren't read.
     """
     spark = table.sparkSession
     shared_dir(spark)
     work = Work(spark)
-    x = table.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, e -> e IS NULL OR isnan(e))")
-    dims = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = f"{key} long, neighbour_id long, rank int, similarity double"
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    d = int(dims["d"])
-    x = work.table(x.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v")))
+    wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    x = table.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("v"), wanted.alias("asked")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, e -> e IS NULL OR isnan(e))")
+    x = work.table(x.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")))
+    dims = [r.d for r in x.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    out = None
+    for d in dims:
+        own = _of_one_length(x.where(F.size("v") == d) if len(dims) > 1 else x, d, work, k, parts, margin, recall, calibrate, sample, shard, broadcast_bytes)
+        out = own if out is None else out.unionAll(own)
+    if out is None:
+        return spark.createDataFrame([], f"{key} long, neighbour_id long, rank int, similarity double")
+    out = out.select(F.col("vec_id").alias(key), "neighbour_id", "rank", "similarity").checkpoint()
+    work.drop()
+    return out
+
+
+def _of_one_length(every: DataFrame, d: int, work: Work, k: int, parts: int, margin: float, recall: float, calibrate: int, most: int, shard: int, broadcast_bytes: int) -> DataFrame:
+    spark = every.sparkSession
+    hashed = [F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")]
+    same = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    first = work.table(every.select(*hashed, "vec_id").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1))  # each task's first alone are shuffled
+    x = work.table(every.select(*hashed, "v", "vec_id", "asked").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.first("v").alias("v"), F.max("asked").alias("asked")))
     n = x.count()
-    lists = int(min(max(1, round(n**0.5)), most_lists))
-    mixed = F.xxhash64("vec_id", F.lit(5))
-    sample = x.orderBy(mixed, "vec_id").limit(64 * lists).toPandas()
-    rows = np.stack(sample["v"].to_numpy()).astype(np.float32)
+    lists = int(max(1, min(round(n**0.5), most // 16)))
+    chosen = x.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(min(64 * lists, most)).select("vec_id", "v").toPandas()
+    rows = np.stack(chosen["v"].to_numpy()).astype(np.float32)
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
     z = fit(rows, lists, parts)
     shared = spark.sparkContext.broadcast(z)
-    asked, asked_ids = rows[:calibrate], sample["vec_id"].to_numpy()[:calibrate]
-    true = x.mapInArrow(lambda it: _true_lists(it, shared.value, asked, asked_ids, k), "i long, v long, s double, rank long")
+    tried, tried_ids = rows[:calibrate], chosen["vec_id"].to_numpy()[:calibrate]
+    true = x.select("vec_id", "v").mapInArrow(lambda it: _true_lists(it, shared.value, tried, tried_ids, k), "i long, v long, s double, rank long")
     ranks = true.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "v"))).where(f"r <= {k} AND s > -2").select("rank").toPandas()["rank"].to_numpy()
     probes = int(np.sort(ranks)[min(ranks.size - 1, int(np.ceil(recall * ranks.size)) - 1)]) + 1 if ranks.size else 1
-    most = k * oversample
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            at, codes = shared.value.encode(_matrix(b.column(1))) if b.num_rows else (np.zeros(0, int), np.zeros((0, 1), np.uint8))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "code"])
-
-    codes = work.table(x.mapInArrow(encode, "vec_id long, list int, code binary"))
-    if n * (parts + 12) <= broadcast_bytes:
+            v = _matrix(b.column(1)) if b.num_rows else np.zeros((0, d), np.float32)
+            at, codes = shared.value.encode(v)
+            wide = margin / d**0.5 * shared.value.errors(v, at, codes) + 1e-6
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(wide.astype(np.float32))], ["vec_id", "list", "code", "margin"])
+
+    codes = work.table(x.select("vec_id", "v").mapInArrow(encode, "vec_id long, list int, code binary, margin float"))
+    queries = x.where("asked").select("vec_id", "v")
+    if n * (parts + 16) <= broadcast_bytes:
         c = codes.toPandas()
-        index = {int(g): (part["vec_id"].to_numpy(), np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)) for g, part in c.groupby("list")}
+        index = {int(g): (part["vec_id"].to_numpy(), np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1), part["margin"].to_numpy()) for g, part in c.groupby("list")}
         held = spark.sparkContext.broadcast(index)
         cores = max(2, spark.sparkContext.defaultParallelism)
-        candidates = x.repartition(2 * cores).mapInArrow(lambda it: _scan_local(it, shared.value, held.value, probes, most), "q long, v long")
+        candidates = queries.repartition(2 * cores).mapInArrow(lambda it: _scan_local(it, shared.value, held.value, probes, k + 1), "q long, v long")
     else:
         shards = F.greatest(F.lit(1), F.ceil(F.col("n") / shard)).cast("int")
         sizes = codes.groupBy("list").agg(F.count("*").alias("n")).select("list", shards.alias("shards"))
@@ -234,20 +269,27 @@ def neighbours(table: DataFrame, k: int = 10, key: str = "vec_id", column: str =
                 take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.ravel().astype(np.int32))], ["q", "v", "list"])
 
-        own = F.broadcast(sizes.toDF("asked", "pieces"))
-        asking = x.mapInArrow(route, "q long, v array<float>, asked int").join(own, "asked").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-        found = asking.groupBy("asked", "piece").cogroup(codes.groupBy("list", "shard")).applyInArrow(lambda key_, a, b: _scan_group(key_, a, b, shared.value, most), "q long, v long, s float")
-        candidates = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).where(f"r <= {most}").select("q", "v")
+        own = F.broadcast(sizes.toDF("to", "pieces"))  # one row a list
+        asking = queries.mapInArrow(route, "q long, v array<float>, to int").join(own, "to").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+        found = asking.groupBy("to", "piece").cogroup(codes.groupBy("list", "shard")).applyInArrow(lambda key_, a, b: _scan_group(key_, a, b, shared.value, k + 1), "q long, v long, low float, high float")
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"))))
+        bound = F.max(F.when(F.col("r") == k + 1, F.col("low"))).over(Window.partitionBy("q"))
+        candidates = found.withColumn("bound", bound).where("bound IS NULL OR high >= bound").select("q", "v")
     if n * (4 * d + 8) <= broadcast_bytes:
-        v = x.toPandas().sort_values("vec_id")
+        v = x.select("vec_id", "v").toPandas().sort_values("vec_id")
         m = np.stack(v["v"].to_numpy()).astype(np.float32)
         vectors = spark.sparkContext.broadcast((v["vec_id"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)))
         exact = candidates.mapInArrow(lambda it: _rerank_local(it, *vectors.value), "q long, v long, s double")
     else:
-        one, two = x.toDF("q", "vq"), x.toDF("v", "vv")
+        one, two = x.select("vec_id", "v").toDF("q", "vq"), x.select("vec_id", "v").toDF("v", "vv")
         exact = candidates.join(one, "q").join(two, "v").select("q", "v", "vq", "vv").mapInArrow(_rerank, "q long, v long, s double")
     exact = exact.withColumn("s", F.round("s", 6))
-    out = exact.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).where(f"rank <= {k}")
-    out = out.select(F.col("q").alias(key), F.col("v").alias("neighbour_id"), "rank", F.col("s").alias("similarity")).checkpoint()
-    work.drop()
-    return out
+    # each found vector stands for its first k + 1 rows; of these, k + 1 in all are enough for each row with the query's vector
+    lead = work.table(exact.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).where(f"r <= {k + 1}").drop("r"))
+    named = x.select("h1", "h2", F.col("vec_id").alias("unit"))
+    members = named.join(first.select("h1", "h2", "vec_id"), ["h1", "h2"]).select(F.col("unit").alias("v"), F.col("vec_id").alias("neighbour_id"))
+    lead = lead.join(members, "v").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "neighbour_id"))).where(f"r <= {k + 1}")
+    rows_asked = every.where("asked").select(*hashed, "vec_id").join(named, ["h1", "h2"]).select("vec_id", F.col("unit").alias("q"))
+    each = rows_asked.join(lead, "q").where("vec_id <> neighbour_id")
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("r"))).where(f"rank <= {k}")
+    return each.select("vec_id", "neighbour_id", "rank", F.col("s").alias("similarity"))

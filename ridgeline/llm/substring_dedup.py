@@ -260,21 +260,27 @@ def align(hb: np.ndarray, ha: np.ndarray, parts: np.ndarray) -> tuple[int, int,
 
 
 def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
+    def hashed(ids: pa.Array, texts: pa.Array) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """Words and bytes of the different texts, and which of them each row has."""
+        _, first, of = np.unique(np.asarray(ids), return_index=True, return_inverse=True)
+        data, byte = text_buffer(texts.take(pa.array(first)))
+        return words(data, byte), byte, of
+
     for batch in batches:
         for p in pieces(batch, "text_b"):
             col = lambda n: p.column(p.schema.get_field_index(n))  # noqa: B023, E731
-            hb, sb, eb, ob = words(*text_buffer(col("text_b")))
-            ha, _, _, oa = words(*text_buffer(col("text_a")))
-            _, byte = text_buffer(col("text_b"))
+            (hb, sb, eb, ob), byte, of_b = hashed(col("b"), col("text_b"))
+            (ha, _, _, oa), _, of_a = hashed(col("a"), col("text_a"))
             rows = []
             for i, parts in enumerate(col("parts").to_pylist()):
                 x = np.array(parts, np.int64).reshape(-1, 3)
-                b, a = hb[ob[i] : ob[i + 1]], ha[oa[i] : oa[i + 1]]
+                u, v = of_b[i], of_a[i]
+                b, a = hb[ob[u] : ob[u + 1]], ha[oa[v] : oa[v + 1]]
                 if x[-1, 1] > b.size or (x[:, 1] - x[:, 2] > a.size).any() or (x[:, 0] < x[:, 2]).any():
                     continue  # seeds of another text under the same doc_id
                 s, e, share = align(b, a, x)
                 if share >= identity:
-                    rows.append((i, s, e, int(sb[ob[i] + s] - byte[i]), int(eb[ob[i] + e - 1] - byte[i])))
+                    rows.append((i, s, e, int(sb[ob[u] + s] - byte[u]), int(eb[ob[u] + e - 1] - byte[u])))
             r = np.array(rows, np.int64).reshape(-1, 5)
             take = pa.array(r[:, 0])
             yield pa.RecordBatch.from_arrays([col("b").take(take), col("a").take(take), col("hash_b").take(take), *(pa.array(r[:, j]) for j in range(1, 5))], ["b", "a", "hash", "first", "last", "byte_first", "byte_last"])
@@ -369,7 +375,7 @@ def _pairs_of(seeds: DataFrame, k: int, low: int, high: int, wanted: DataFrame |
     return pairs if wanted is None or few else pairs.join(wanted.select("pair").distinct(), "pair", "left_semi")
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 5, identity: float = 0.7, slack: int = 5) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 6, identity: float = 0.7, slack: int = 5) -> DataFrame:
     """(doc_id, first_word, end_word, first_byte, end_byte, source_id, text_hash) of passages that stand in a document of a lesser doc_id, too.
 
     source_id is the document that the longest part of the passage was found in; text_hash is the xxhash64 of the text that the offsets are of.
@@ -385,7 +391,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     shared_dir(spark)
     work = Work(spark)
     texts, names = units(docs, work)
-    near = max(k, min(2 * least // 5, least - 2 * (k + 2 * window - 1)))  # seeds may begin and end so much later and earlier than a passage
+    seldom = max(window, least // 5)  # for pieces, fewer seeds will do
+    near = max(k, min(2 * least // 5, least - 2 * (k + seldom - 1)))  # seeds may begin and end so much later and earlier than a passage
     chain = "b long, a long, parts array<int>"
     seeds = texts.mapInArrow(lambda it: _seeds(it, k, window), "key long, b long, pb int, more array<struct<b: long, pb: int>>")
     order = Window.partitionBy("key").orderBy("b", "pb")
@@ -399,17 +406,16 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     # short pieces that only together are long enough: another document may hold all of them, and then has seeds of two pieces about as far apart
     parts = work.table(_loose(spans, least, slack))
     if not parts.isEmpty():
-        seldom = 2 * window  # fewer seeds will do: a passage has some near both of its ends
         asked = by_ids(texts, parts.select("b"), "left_semi").mapInArrow(lambda it: _occurrences(it, k, seldom), "key long, b long, at int")
         asked = work.table(asked.join(parts, "b").where(F.col("at").between(F.col("lo"), F.col("hi") - k)).select("key", "b", "at").distinct())
         there = work.table(by_ids(texts.mapInArrow(lambda it: _occurrences(it, k, seldom), "key long, doc long, pos int"), asked.select("key"), "left_semi", "key"))
         others = None
         while True:  # each pair's first document; then, for pairs that this one doesn't align with, all that have it
             own = _reach(asked, spans).withColumnRenamed("b", "doc").withColumnRenamed("at", "pos")
-            own = work.table(_pairs_of(own, k, near, least).select(F.col("doc").alias("b"), "pair"))
+            own = work.table(_pairs_of(own, k, near, near + seldom + slack).select(F.col("doc").alias("b"), "pair"))
             first = others is None
             if first:
-                others = work.table(_pairs_of(there.withColumn("reach", F.lit(0)), k, near // 2, least + near, own).select("pair", F.col("doc").alias("a")))
+                others = work.table(_pairs_of(there.withColumn("reach", F.lit(0)), k, near - slack, near + seldom + 2 * slack, own).select("pair", F.col("doc").alias("a")))
             have = others.groupBy("pair").agg(F.min("a").alias("a")) if first else others
             links = work.table(own.join(have, "pair").where("a < b").select("b", "a").distinct())
             found = links.join(asked, "b").join(there.select("key", F.col("doc").alias("a"), F.col("pos").alias("pa")), ["key", "a"]).select("b", "a", F.col("at").alias("pb"), "pa")

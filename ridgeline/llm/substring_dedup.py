@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import BROADCAST_IDS, Work, by_ids, hidden, mix, named, pieces, shared_dir, text_buffer, units, words
+from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, text_buffer, units, words
 
 _POS = np.uint64((1 << 24) - 1)
 GAP_COST = 0.1  # for each word of either document between two seeds of a chain
@@ -317,13 +317,10 @@ def _loose(spans: DataFrame, least: int, slack: int) -> DataFrame:
     return parts.join(short, "b").where("first >= lo AND first < hi").select("b", "lo", "hi").distinct()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Hashes of the pairs of seeds of one document that begin `low` to `high` words apart, if they are among those `wanted` (sorted; None: all).
+def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Hashes of the pairs of seeds of one document that begin `low` to `high` words apart, if their bits are set (None: all).
     Rows (doc, pos, key, reach) come in the order of (doc, pos); pairs that end within the first one's reach are left out."""
     held: list[np.ndarray] = []
-    if wanted is not None:
-        some = np.zeros(1 << max(16, (8 * wanted.size).bit_length()), bool)  # most pairs are told apart by this alone
-        some[wanted & (some.size - 1)] = True
 
     def of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
         turn = np.concatenate([[True], m[0][1:] != m[0][:-1]])
@@ -338,10 +335,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int, wante
             one, two = one[ok], two[ok]
             key = mix(m[2][one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + m[2][two].view(np.uint64), 35).view(np.int64)
             doc = m[0][one]
-            if wanted is not None:
-                ok = some[key & (some.size - 1)]
-                key, doc = key[ok], doc[ok]
-                ok = np.isin(key, wanted)
+            if bits is not None:
+                at = key & (8 * bits.size - 1)
+                ok = (bits[at >> 3] >> (at & 7)) & 1 > 0
                 key, doc = key[ok], doc[ok]
             if key.size:
                 order = np.lexsort((key, doc))
@@ -366,13 +362,44 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int, wante
         yield from of(np.concatenate(held, axis=1))
 
 
+#: Bytes of the bitmap by which pairs that nobody asks for are left out before the shuffle; it is of one size for any number of pairs.
+BITMAP = 1 << 23
+
+
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """The bits of all pairs: set in each task, and put together in pieces."""
+    piece = BITMAP // 256
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITMAP, np.uint8)
+        for b in batches:
+            at = np.unique(np.asarray(b.column(0)) & (8 * BITMAP - 1))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        some = np.flatnonzero(bits.reshape(256, -1).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([bits[i * piece : (i + 1) * piece].tobytes() for i in some], pa.binary())], ["i", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(raw.as_buffer(), np.uint8)
+                held[i] = held[i] | x if i in held else x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["i", "bits"])
+
+    out = np.zeros(BITMAP, np.uint8)
+    for r in pairs.select("pair").mapInArrow(mark, "i int, bits binary").repartition(32, "i").mapInArrow(merge, "i int, bits binary").toLocalIterator():
+        out[r["i"] * piece : (r["i"] + 1) * piece] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _pairs_of(seeds: DataFrame, k: int, low: int, high: int, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc, pair) of the pairs of seeds, if they are in `wanted`, a written table, whose pairs are broadcast up to BROADCAST_IDS of them."""
+    """(doc, pair) of the pairs of seeds, if they are in `wanted`, a written table."""
     rows = seeds.select("doc", "pos", "key", "reach").repartition("doc").sortWithinPartitions("doc", "pos")
-    few = wanted is not None and wanted.count() <= BROADCAST_IDS
-    shared = seeds.sparkSession.sparkContext.broadcast(np.unique(wanted.toPandas()["pair"].to_numpy(np.int64))) if few else None
-    pairs = rows.mapInArrow(lambda it: _pairs(it, k, low, high, shared.value if few else None), "doc long, pair long").distinct()
-    return pairs if wanted is None or few else pairs.join(wanted.select("pair").distinct(), "pair", "left_semi")
+    if wanted is None:
+        return rows.mapInArrow(lambda it: _pairs(it, k, low, high, None), "doc long, pair long").distinct()
+    shared = seeds.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    pairs = rows.mapInArrow(lambda it: _pairs(it, k, low, high, shared.value), "doc long, pair long").distinct()
+    return pairs.join(wanted.select("pair").distinct(), "pair", "left_semi")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int = 6, identity: float = 0.7, slack: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,11 @@ NOT_TEXT = r"(?i)<!--(?s:.)*?-->|<script\b(?s:.)*?</script\s*>|<style\b(?s:.)*?<
 
 
 def html_text(html: Column) -> Column:
-    """array<string> of the text nodes, in order; those of blanks only are left out. Entities stay as they are."""
-    return F.filter(F.split(html, NOT_TEXT), lambda t: F.regexp_like(t, F.lit(r"[^ \t\n\r\f\x0B]")))
+    """array<string> of the text nodes, in order. Blanks alone between two tags aren't a node, but go before the next one's text; at the end
+    they are left out. Entities stay as they are."""
+    cut = F.regexp_replace(html, NOT_TEXT, "\x00")
+    joined = F.regexp_replace(cut, "(?<=^|\x00)([ \\t\\n\\r\\f\\x0B]*)\x00", "$1")  # a cut after nothing but blanks goes
+    return F.filter(F.split(joined, "\x00"), lambda t: F.regexp_like(t, F.lit(r"[^ \t\n\r\f\x0B]")))
 
 
 _SKIP = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", re.S | re.I)
@@ -98,6 +101,12 @@ def match_tags(matches: list[tuple[int, int, int]], names: dict[int, str] | None
     return [{"name": "span", "s": s + 1, "e": e, "attrs": {"class": prefix + str((names or {}).get(i, i))}, "text": None} for i, s, e in matches]
 
 
+def tags_of_matches(matches: DataFrame, names: dict[int, str] | None = None, prefix: str = "") -> DataFrame:
+    """(doc_id, name, s, e, class) of matches (doc_id, id, s, e), as match_tags() makes them."""
+    named = F.create_map(*[F.lit(x) for p in names.items() for x in p])[F.col("id").cast("int")] if names else F.lit(None).cast("string")
+    return matches.select("doc_id", F.lit("span").alias("name"), (F.col("s") + 1).alias("s"), "e", F.concat(F.lit(prefix), F.coalesce(named, F.col("id").cast("string"))).alias("class"))
+
+
 @F.pandas_udf(EXTRACT)
 def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ON = ["doc_id", "s", "e"]
@@ -51,10 +51,19 @@ def matching(cand: DataFrame, gold: DataFrame) -> DataFrame:
     return cand.join(g, ON, "left").withColumn("match", F.coalesce("_g", F.lit(False))).drop("_g")
 
 
+def _along(points: DataFrame, at: str, others: DataFrame, start: str) -> tuple[DataFrame, dict[str, WindowSpec]]:
+    """Points and other spans of each document in one order, and the frames of what begins before a point, with it and after it: what joins of
+    intervals need, without pairs. Points are the rows where _point is true."""
+    both = points.withColumns({"_at": F.col(at), "_point": F.lit(True)}).unionByName(others.withColumns({"_at": F.col(start), "_point": F.lit(False)}), allowMissingColumns=True)
+    w, back = Window.partitionBy("doc_id").orderBy("_at"), Window.partitionBy("doc_id").orderBy(F.desc("_at"))
+    first = Window.unboundedPreceding
+    return both, {"before": w.rangeBetween(first, -1), "with": w.rangeBetween(0, 0), "upto": w.rangeBetween(first, 0), "after": back.rangeBetween(first, -1)}
+
+
 def contained(tokens: DataFrame, gold: DataFrame) -> DataFrame:
     """tokens with inside: whether they lie within a gold span."""
-    t = tokens.join(gold.select("doc_id", F.col("s").alias("_s"), F.col("e").alias("_e")), "doc_id").where("_s <= s AND e <= _e").select(ON).distinct().withColumn("_g", F.lit(True))
-    return tokens.join(t, ON, "left").withColumn("inside", F.coalesce("_g", F.lit(False))).drop("_g")
+    both, frame = _along(tokens, "s", gold.select("doc_id", F.col("s").alias("_s"), F.col("e").alias("_e")), "_s")
+    return both.withColumn("inside", F.coalesce(F.max("_e").over(frame["upto"]) >= F.col("e"), F.lit(False))).where("_point").select(*tokens.columns, "inside")
 
 
 def coverage(cand: DataFrame, gold: DataFrame) -> DataFrame:
@@ -108,12 +117,19 @@ def miss_report(gold: DataFrame, gaz: DataFrame, bio_: DataFrame) -> DataFrame:
     wrong_type, over (a span around it), under (a span within it), cross, none. gold has idx, a number within the document. by_gaz and by_bio tell for `under` which source has such a span."""
     both = gaz.select("doc_id", F.col("s").alias("x"), F.col("e").alias("y"), F.col("ty").alias("t"), F.lit(0).alias("src")).unionByName(bio_.select("doc_id", F.col("s").alias("x"), F.col("e").alias("y"), F.col("ty").alias("t"), F.lit(1).alias("src")))
     g = gold.select("doc_id", "idx", "s", "e", "ty")
-    same = (F.col("x") == F.col("s")) & (F.col("y") == F.col("e"))
-    around = (F.col("x") <= F.col("s")) & (F.col("e") <= F.col("y")) & ~same
-    within = (F.col("s") <= F.col("x")) & (F.col("y") <= F.col("e")) & ~same
-    j = g.join(both.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & (F.col("x") < F.col("e")) & (F.col("s") < F.col("y")), "left")
-    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    f = j.groupBy("doc_id", "idx", "ty").agg(any_(same & (F.col("t") == F.col("ty"))).alias("exact"), any_(same).alias("wrong"), any_(around).alias("over"), any_(within & (F.col("src") == 0)).alias("ug"), any_(within & (F.col("src") == 1)).alias("ub"), any_(F.col("x").isNotNull()).alias("some"))
+    no = F.lit(False)
+    x, frame = _along(g, "s", both.select("doc_id", "x", "y", "src"), "x")
+    over = F.coalesce(F.max("y").over(frame["before"]) >= F.col("e"), no) | F.coalesce(F.max("y").over(frame["with"]) > F.col("e"), no)
+
+    def under_by(src: int) -> Column:
+        y = F.when(F.col("src") == src, F.col("y"))
+        return F.coalesce(F.min(y).over(frame["after"]) <= F.col("e"), no) | F.coalesce(F.min(y).over(frame["with"]) < F.col("e"), no)
+
+    f = x.withColumns({"over": over, "ug": under_by(0), "ub": under_by(1)}).where("_point").select(*g.columns, "over", "ug", "ub")
+    x, frame = _along(f, "e", both.select("doc_id", "x", "y"), "x")
+    f = x.withColumn("some", F.coalesce(F.max("y").over(frame["before"]) > F.col("s"), no)).where("_point").select(*f.columns, "some")
+    same = both.groupBy("doc_id", F.col("x").alias("s"), F.col("y").alias("e")).agg(F.collect_set("t").alias("types"))
+    f = f.join(same, ON, "left").withColumns({"wrong": F.col("types").isNotNull(), "exact": F.coalesce(F.array_contains("types", F.col("ty")), no)})
     outcome = F.when(F.col("exact"), "covered").when(F.col("wrong"), "wrong_type").when(F.col("over"), "over").when(F.col("ug") | F.col("ub"), "under").when(F.col("some"), "cross").otherwise("none")
     under = outcome == "under"
     return f.select("ty", outcome.alias("outcome"), (under & F.col("ug")).alias("by_gaz"), (under & F.col("ub")).alias("by_bio")).groupBy("ty", "outcome", "by_gaz", "by_bio").agg(F.count("*").alias("n"))

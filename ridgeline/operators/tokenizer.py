@@ -7,14 +7,16 @@ tokenizer keeps n-grams that it knows. All offsets are of bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.containers import ranked
 from ridgeline.functions.normalize import fold
 
 BASE = 0x9E3779B97F4A7C15
@@ -59,9 +61,9 @@ class Tokenizer:
 
     # --- rows ---
 
-    def render(self, text: bytes, tokens: list[tuple[int, int, int]], focus: tuple[int, int] | None) -> tuple[list[int] | bytes, int, int]:
+    def render(self, text: bytes, tokens: list[tuple[int, int, int]], focus: tuple[int, int] | None) -> tuple[np.ndarray | bytes, int, int]:
         """Symbols of a row, and the positions of its focus marks (its length where there are none)."""
-        m, out = self.markers, []  # (bytes, is a marker, in a token?)
+        m, out = self.markers, []
         s, e = (min(max(focus[0], 0), len(text)), min(max(focus[1], 0), len(text))) if focus else (0, 0)
         s = min(s, e)
         if self.mode == "tags":
@@ -82,68 +84,62 @@ class Tokenizer:
         cuts = [(0, s), "open", (s, e), "close", (e, len(text))] if self.focus else [(0, len(text))]
         stream = (["bos"] if self.terminals else []) + cuts + (["eos"] if self.terminals else [])
         if self.normalize:
-            row = bytearray()
-            spaced = True
+            row, spaced = [], True
             for part in stream:
                 if isinstance(part, str):
-                    row.append(m[part])
+                    row.append(bytes([m[part]]))
                     spaced = False
                     continue
-                for b in _fold_bytes(text[part[0] : part[1]]):
-                    b = 32 if b < 32 or b == 127 else b
-                    if b != 32 or not spaced:
-                        row.append(b)
-                    spaced = b == 32
-            if row and row[-1] == 32:
-                row.pop()
-            return self._marked(bytes(row))
+                piece = _BLANKS.sub(b" ", _fold_bytes(text[part[0] : part[1]]))
+                piece = piece[1:] if spaced and piece[:1] == b" " else piece
+                if piece:
+                    row.append(piece)
+                    spaced = piece[-1] == 32
+            if row and row[-1][-1] == 32:
+                row[-1] = row[-1][:-1]
+            return self._marked(b"".join(row))
         if self.mode == "chars":
             for part in stream:
                 out.append(bytes([m[part]]) if isinstance(part, str) else text[part[0] : part[1]].translate(_SCRUB))
             return self._marked(b"".join(out))
-        inside = np.zeros(len(text), bool)
+        inside = np.zeros(len(text) + 2, bool)
         for a, b, *_ in tokens:
-            inside[a:b] = True
-        parts: list = []
+            inside[a + 1 : b + 1] = True
         clean = text.translate(_SCRUB)
-        for part in stream:
-            if isinstance(part, str):
-                parts.append((m[part], True))
-                continue
-            a, b = part
-            edges = [a, *(np.flatnonzero(np.diff(inside[a:b])) + a + 1).tolist(), b] if b > a else []
-            parts += [(clean[x:y], bool(inside[x])) for x, y in zip(edges, edges[1:])]
+
+        def stretches(a: int, b: int, kept: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Starts and ends of the stretches of [a, b) within tokens, or outside of them."""
+            edges = np.flatnonzero(np.diff(np.concatenate([[not kept], inside[a + 1 : b + 1], [not kept]]) if b > a else np.zeros(2, bool)))
+            return edges[::2] + a, edges[1::2] + a
+
         if self.mode == "flat":
             row, gap = bytearray(), False
-            for piece, kept in parts:
-                if isinstance(piece, int):
-                    row.append(piece)
-                    gap = False
-                elif kept:
-                    row += piece
+            for part in stream:
+                if isinstance(part, str):
+                    row.append(m[part])
                     gap = False
-                elif not gap:
+                    continue
+                at = part[0]
+                for x, y in zip(*(e.tolist() for e in stretches(*part, True))):
+                    if x > at and not gap:
+                        row.append(m["sep"])
+                    row += clean[x:y]
+                    at, gap = y, False
+                if part[1] > at and not gap:
                     row.append(m["sep"])
                     gap = True
             return self._marked(bytes(row))
-        symbols: list[int] = []
-        for piece, kept in parts:
-            if isinstance(piece, int):
-                symbols.append(piece)
-            elif kept:
-                h = 0
-                for b in piece:
-                    h = (h * BASE + b) & _MASK
-                symbols.append(h)
-        return symbols, len(symbols), len(symbols)
+        symbols = [np.array([m[part]], np.uint64) if isinstance(part, str) else _rolling(clean, *stretches(*part, True)) for part in stream]
+        row = np.concatenate(symbols) if symbols else np.zeros(0, np.uint64)
+        return row, row.size, row.size
 
     def _marked(self, row: bytes) -> tuple[bytes, int, int]:
         o, c = (row.find(bytes([self.markers[k]])) if self.focus else -1 for k in ("open", "close"))
         return row, len(row) if o < 0 else o, len(row) if c < 0 else c
 
-    def keys(self, row: bytes | list[int], opened: int, closed: int) -> np.ndarray:
+    def keys(self, row: bytes | np.ndarray, opened: int, closed: int) -> np.ndarray:
         """Packed keys (signed 64 bits) of all n-grams of a row: big-endian bytes up to 8, a rolling hash beyond and for words."""
-        a = np.frombuffer(row, np.uint8).astype(np.uint64) if isinstance(row, bytes) else np.array(row, np.uint64)
+        a = np.frombuffer(row, np.uint8).astype(np.uint64) if isinstance(row, bytes) else row
         out = []
         for n in range(self.ngram_min, self.ngram_max + 1):
             count = a.size - n + 1
@@ -162,16 +158,20 @@ class Tokenizer:
 
     # --- frames ---
 
-    def rows(self, texts: DataFrame, tokens: DataFrame | None = None, focus: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    def rows(self, texts: DataFrame, tokens: DataFrame | str | None = None, focus: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
         """(key, idx, gram, val): n-gram counts of each text, or of each focus span (idx), before any vocabulary.
 
-        tokens: (key, s, e[, ty]); focus: (key, idx, s, e). Null texts are empty."""
+        tokens: (key, s, e[, ty]), or "words" for the runs of letters and digits, which are found in the same pass; focus: (key, idx, s, e).
+        Null texts are empty."""
+        found = isinstance(tokens, str)
+        if found and tokens != "words":
+            raise ValueError(f"no tokens {tokens}")
         if self.mode != "chars" and tokens is None:
             raise ValueError(f"mode {self.mode} needs tokens")
         if self.focus and focus is None:
             raise ValueError("this tokenizer needs focus spans")
         x = texts.select(key, F.coalesce(F.encode(F.col("text"), "utf-8"), F.encode(F.lit(""), "utf-8")).alias("text"))
-        if self.mode != "chars":
+        if self.mode != "chars" and not found:
             ty = F.col("ty").cast("long") if "ty" in tokens.columns else F.lit(0).cast("long")
             t = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), ty.alias("ty")))).alias("tokens"))
             x = x.join(t, key, "left")
@@ -187,7 +187,8 @@ class Tokenizer:
             for b in batches:
                 at, grams, counts = [], [], []
                 for i, (text, toks, f) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist())):
-                    row = self.render(text, [(t["s"], t["e"], t["ty"]) for t in toks or ()], (f["s"], f["e"]) if f else None)
+                    own = word_tokens(text) if found else [(t["s"], t["e"], t["ty"]) for t in toks or ()]
+                    row = self.render(text, own, (f["s"], f["e"]) if f else None)
                     g, c = np.unique(self.keys(*row), return_counts=True)
                     at.append(np.full(g.size, i))
                     grams.append(g)
@@ -204,12 +205,8 @@ class Tokenizer:
 
 
 def number(grams: DataFrame) -> DataFrame:
-    """(gram, col): distinct grams in signed order. Ranks are taken within ranges of keys and shifted by the ranges' sizes, so no task holds all."""
-    g = grams.distinct().withColumn("part", F.shiftright("gram", 52))
-    sizes = g.groupBy("part").count()
-    sizes = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("part").orderBy("gram")) - 1
-    return g.withColumn("r", inner).join(sizes, "part").select("gram", (F.col("before") + F.col("r")).cast("int").alias("col"))
+    """(gram, col): distinct grams in signed order, ranked in ranges between their quantiles, so that no task orders all."""
+    return ranked(grams.distinct(), "col", ["gram"]).select("gram", F.col("col").cast("int").alias("col"))
 
 
 @dataclass
@@ -217,7 +214,7 @@ class FittedTokenizer:
     tokenizer: Tokenizer
     vocab: DataFrame  # gram, col
 
-    def transform(self, texts: DataFrame, tokens: DataFrame | None = None, focus: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    def transform(self, texts: DataFrame, tokens: DataFrame | str | None = None, focus: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
         """(key, idx, col, val) of the known n-grams: a sparse matrix in long form."""
         return self.tokenizer.rows(texts, tokens, focus, key).join(self.vocab, "gram").select(key, "idx", "col", "val")
 
@@ -255,5 +252,28 @@ def raw_counts(texts: DataFrame, ngram_max: int, ngram_min: int = 1, normalize:
 _SCRUB = bytes(32 if 1 <= b <= 8 or 14 <= b <= 31 or b == 127 else b for b in range(256))
 
 
+_BLANKS = re.compile(rb"[\x00-\x20\x7f]+")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+_WORDS = re.compile(rb"[A-Za-z0-9]+")
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_tokens(text: bytes) -> list[tuple[int, int, int]]:
+    """Runs of ASCII letters and digits, as tokens."""
+    return [(*m.span(), 0) for m in _WORDS.finditer(text)]
+
+
 def _fold_bytes(raw: bytes) -> bytes:
-    return fold(raw.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+    return raw.translate(_LOWER) if raw.isascii() else fold(raw.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+
+
+def _rolling(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rolling hashes (h * BASE + byte, from 0) of stretches of a text: differences of one running sum, brought to the end's power."""
+    if _POWERS[0].size <= len(text):
+        for k, r in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(max(len(text) + 1, 1 << 16), r, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(np.frombuffer(text, np.uint8) * _POWERS[1][: len(text)], out=total[1:])
+    return (total[end] - total[start]) * _POWERS[0][np.maximum(end - 1, 0)]

@@ -61,7 +61,7 @@ def set_docs_subset(spark, sf_dir):
     return spans.of_docs(gold(spark, sf_dir).select("doc_id", "s", "e", "ty"), some)
 
 
-@query("filt_token_align", f"WITH {GOLD}, {_PAIRS} SELECT doc_id, idx, s, e FROM pairs SEMI JOIN gold USING (doc_id, s) WHERE (doc_id, e) IN (SELECT (doc_id, e) FROM gold)")
+@query("filt_token_align", f"WITH {GOLD}, {_PAIRS}, b AS (SELECT * FROM pairs SEMI JOIN gold USING (doc_id, s)) SELECT doc_id, idx, s, e FROM b SEMI JOIN gold USING (doc_id, e)")
 def filt_token_align(spark, sf_dir):
     """Pairs of words that begin and end with gold spans."""
     return spans.aligned(pairs(spark, sf_dir).drop("ty"), gold(spark, sf_dir))
@@ -72,7 +72,7 @@ def filt_exclude(spark, sf_dir):
     return spans.outside(words(spark, sf_dir), spark.createDataFrame([(50, 200), (300, 400)], "lo int, hi int"))
 
 
-@query("span_match", f"WITH {GOLD}, {_CAND} SELECT doc_id, idx, s, e, ty, (doc_id, s, e) IN (SELECT (doc_id, s, e) FROM gold) AS match FROM cand")
+@query("span_match", f"WITH {GOLD}, {_CAND} SELECT doc_id, idx, s, e, ty, coalesce(m, false) AS match FROM cand LEFT JOIN (SELECT DISTINCT doc_id, s, e, true AS m FROM gold) USING (doc_id, s, e)")
 def span_match(spark, sf_dir):
     return spans.matching(candidates(spark, sf_dir), gold(spark, sf_dir))
 
@@ -99,7 +99,7 @@ def candidate_runs(spark, sf_dir):
     return spans.runs(words(spark, sf_dir).withColumn("inside", F.expr("e - s <= 3")))
 
 
-@query("candidate_subspans", f"WITH {GOLD}, x AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS g FROM w WHERE e - s <= 3) SELECT a.doc_id, a.s, b.e FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.g = b.g AND b.idx BETWEEN a.idx AND a.idx + 3")
+@query("candidate_subspans", f"WITH {GOLD}, x AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS g FROM w WHERE e - s <= 3), y AS (SELECT doc_id, s, unnest([e, lead(e, 1) OVER p, lead(e, 2) OVER p, lead(e, 3) OVER p]) AS e FROM x WINDOW p AS (PARTITION BY doc_id, g ORDER BY idx)) SELECT * FROM y WHERE e IS NOT NULL")
 def candidate_subspans(spark, sf_dir):
     return spans.subspans(words(spark, sf_dir).withColumn("inside", F.expr("e - s <= 3")), most=4)
 
@@ -178,6 +178,21 @@ def agg_gaz_block(spark, sf_dir):
     return Gazetteer.build(d, g, N_TYPES).block(d, cand, "label").withColumn("val", F.round("val", 9))
 
 
+@query(
+    "agg_gaz_block_char",
+    f"""WITH {GOLD}, {_CHAR}, n AS (SELECT surface, ty, count(*) AS n FROM y GROUP BY ALL), b AS (SELECT surface, sum(n) AS total FROM n GROUP BY surface),
+c AS (SELECT w.doc_id, w.s, w.e, hex(encode(lower(w.t))) AS h, coalesce(g.ty, {N_TYPES}) AS own FROM w LEFT JOIN gold g USING (doc_id, s, e) WHERE w.e - w.s BETWEEN 4 AND 5),
+k AS (SELECT doc_id, s, e, own, unnest(list_transform(range(0, greatest(length(h) // 2 - 1, 0)), lambda i: substr(h, 2 * i + 1, 4)) || list_transform(range(0, greatest(length(h) // 2 - 2, 0)), lambda i: substr(h, 2 * i + 1, 6))) AS surface FROM c),
+j AS (SELECT doc_id, s, e, n.ty AS col, n - (n.ty = own)::INT AS num, total - (own < {N_TYPES})::INT AS den FROM k JOIN n USING (surface) JOIN b USING (surface))
+SELECT doc_id, s, e, col, round(sum(num / den), 6) AS val FROM j WHERE num > 0 AND den > 0 GROUP BY ALL""",
+)
+def agg_gaz_block_char(spark, sf_dir):
+    """The same by character n-grams, of words of four and five bytes."""
+    d, g = docs(spark, sf_dir), gold(spark, sf_dir)
+    cand = spans.types_of(words(spark, sf_dir).where("e - s BETWEEN 4 AND 5"), g, N_TYPES)
+    return Gazetteer.build(d, g, N_TYPES, (2, 3)).block(d, cand, "label").withColumn("val", F.round("val", 6))
+
+
 @query("agg_surface_gaz", f"WITH {GOLD} SELECT hex(encode(t)) AS surface, min(ty) AS ty FROM gold GROUP BY t")
 def agg_surface_gaz(spark, sf_dir):
     return surface_types(docs(spark, sf_dir), gold(spark, sf_dir))

@@ -68,18 +68,34 @@ def tok_flat(spark, sf_dir):
     return Tokenizer(3, 3, mode="flat").rows(d, extract.word_spans(d))
 
 
-@query("tok_words", f"WITH {_sql.RUNS} SELECT doc_id, count(DISTINCT t) AS n_words, count(*)::DOUBLE AS total FROM w GROUP BY doc_id")
+_HASH = "list_reduce(list_prepend(0::UHUGEINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::UHUGEINT)), lambda h, x: (h * 11400714819323198485::UHUGEINT + x) % 18446744073709551616::UHUGEINT)"
+_SIGNED = "(CASE WHEN {0} >= 9223372036854775808::UHUGEINT THEN {0}::HUGEINT - 18446744073709551616::HUGEINT ELSE {0}::HUGEINT END)::BIGINT"
+_HASHED = f"{_sql.RUNS}, u AS (SELECT t, {_HASH} AS h FROM (SELECT DISTINCT t FROM w))"
+
+
+@query("tok_words", f"WITH {_HASHED} SELECT doc_id, 0::BIGINT AS idx, {_SIGNED.format('h')} AS gram, count(*)::FLOAT AS val FROM w JOIN u USING (t) GROUP BY ALL")
 def tok_words(spark, sf_dir):
-    """Word unigrams of each document: how many different ones and how many. The keys are 64-bit rolling hashes."""
-    d = docs(spark, sf_dir)
-    return Tokenizer(1, mode="words").rows(d, extract.word_spans(d)).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.col("val").cast("double")).alias("total"))
+    """Word unigrams of each document: 64-bit rolling hashes."""
+    return Tokenizer(1, mode="words").rows(docs(spark, sf_dir), "words")
 
 
-@query("tok_word_bigrams", f"WITH {_sql.RUNS} SELECT doc_id, (count(*) - 1)::DOUBLE AS total FROM w GROUP BY doc_id HAVING count(*) > 1")
+@query("tok_word_bigrams", f"WITH {_HASHED}, b AS (SELECT doc_id, idx, h, lead(h) OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM w JOIN u USING (t)), k AS (SELECT doc_id, (h * 11400714819323198485::UHUGEINT + n) % 18446744073709551616::UHUGEINT AS h FROM b WHERE n IS NOT NULL) SELECT doc_id, 0::BIGINT AS idx, {_SIGNED.format('h')} AS gram, count(*)::FLOAT AS val FROM k GROUP BY ALL")
 def tok_word_bigrams(spark, sf_dir):
-    """Word bigrams of each document. Their keys are sums that some pairs of words share, so only the total is compared."""
+    """Word bigrams of each document. Some pairs of words share a key, which is a sum."""
+    return Tokenizer(2, 2, mode="words").rows(docs(spark, sf_dir), "words")
+
+
+@query("tok_words_of_spans", f"WITH {_HASHED} SELECT doc_id, 0::BIGINT AS idx, {_SIGNED.format('h')} AS gram, count(*)::FLOAT AS val FROM w JOIN u USING (t) WHERE e - s >= 4 GROUP BY ALL")
+def tok_words_of_spans(spark, sf_dir):
+    """Word unigrams of given tokens: words of four bytes or more."""
     d = docs(spark, sf_dir)
-    return Tokenizer(2, 2, mode="words").rows(d, extract.word_spans(d)).groupBy("doc_id").agg(F.sum(F.col("val").cast("double")).alias("total"))
+    return Tokenizer(1, mode="words").rows(d, extract.word_spans(d).where("e - s >= 4"))
+
+
+@query("tok_long_grams", f"WITH {_HEX}, b AS (SELECT doc_id, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UHUGEINT) AS b FROM h), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(b) - 7, 1)), lambda i: list_reduce(list_prepend(0::UHUGEINT, b[i:i + 8]), lambda h, x: (h * 11400714819323198485::UHUGEINT + x) % 18446744073709551616::UHUGEINT))) AS x FROM b) SELECT doc_id, {_SIGNED.format('x')} AS gram, count(*)::FLOAT AS val FROM g GROUP BY ALL")
+def tok_long_grams(spark, sf_dir):
+    """Byte n-grams of nine bytes, which are too long to pack: rolling hashes."""
+    return tokenizer.raw_counts(docs(spark, sf_dir), 9, 9)
 
 
 _SHAPE_CASE = " ".join(
@@ -99,7 +115,7 @@ def tok_tags(spark, sf_dir):
     return Tokenizer(2, 2, mode="tags", n_tags=len(extract.SHAPES)).rows(d, extract.shape_spans(d))
 
 
-_FOCUS = f"""{_sql.RUNS}, f AS (SELECT doc_id, s, e FROM w WHERE idx = 3),
+_FOCUS = f"""{_sql.RUNS}, f AS (SELECT doc_id, s, e FROM w QUALIFY idx = least(3, max(idx) OVER (PARTITION BY doc_id))),
 d AS (SELECT doc_id, hex(encode({_SCRUBBED})) AS h FROM documents),
 h AS (SELECT doc_id, s, e, regexp_extract_all(substr(h, 1, 2 * s) || '01' || substr(h, 2 * s + 1, 2 * (e - s)) || '02' || substr(h, 2 * e + 1), '..') AS b FROM d JOIN f USING (doc_id)),
 g AS (SELECT doc_id, s AS o, e + 1 AS c, unnest(list_transform(range(1, greatest(len(b) - 1, 1)), lambda i: {{'i': i - 1, 'x': b[i] || b[i + 1] || b[i + 2]}})) AS u FROM h),
@@ -107,12 +123,13 @@ k AS (SELECT doc_id, {_sql.number("u.x")} AS gram, CASE WHEN u.i + 3 <= o THEN 0
 
 
 def _focus(d: DataFrame) -> DataFrame:
-    return extract.word_spans(d).where("idx = 3").withColumn("idx", F.lit(0).cast("long"))
+    fourth = F.max_by(F.struct("s", "e"), "idx")
+    return extract.word_spans(d).where("idx <= 3").groupBy("doc_id").agg(fourth.alias("f")).select("doc_id", F.lit(0).cast("long").alias("idx"), "f.s", "f.e")
 
 
 @query("tok_focus", f"WITH {_FOCUS} SELECT doc_id, 0::BIGINT AS idx, gram, count(*)::FLOAT AS val FROM k GROUP BY ALL")
 def tok_focus(spark, sf_dir):
-    """Byte trigrams of documents with marks around their fourth word."""
+    """Byte trigrams of documents with marks around their fourth word, or their last one if there are fewer."""
     d = docs(spark, sf_dir)
     return Tokenizer(3, 3, focus=True).rows(d, focus=_focus(d))
 
@@ -213,12 +230,23 @@ def aho_states(spark, sf_dir):
     return spark.createDataFrame([(Matcher.of(PATTERNS).n_states(),)], "n_states long")
 
 
+@query("match_tags", f"WITH {_MATCHES} SELECT doc_id, 'span' AS name, s + 1 AS s, e, 'm-' || CASE id WHEN 1 THEN 'article' ELSE id::VARCHAR END AS class FROM m")
+def match_tags(spark, sf_dir):
+    """Matches as tags of their text."""
+    return markup.tags_of_matches(Matcher.of(PATTERNS).predict(docs(spark, sf_dir)), {1: "article"}, "m-")
+
+
 # --- markup ---
 
-_NOT_TEXT = markup.NOT_TEXT.replace("'", "''")
+#: Pages cut at "<": the first ">" ends a tag, but for comments and what stands in scripts and styles.
+_NODES = r"""c AS (SELECT page_id, unnest(string_split(html, '<')) AS x, generate_subscripts(string_split(html, '<'), 1) AS k FROM pages WHERE html IS NOT NULL),
+o AS (SELECT *, k > 1 AND regexp_matches(lower(x), '^(script|style)([^a-z0-9]|$)') AS raw_on, k > 1 AND regexp_matches(lower(x), '^/(script|style)[^a-z0-9]') AS raw_off, k > 1 AND starts_with(x, '!--') AS note_on, strpos(x, '-->') > 0 AS note_off FROM c),
+st AS (SELECT *, max(CASE WHEN raw_on THEN k ELSE 0 END) OVER w AS r1, max(CASE WHEN raw_off THEN k ELSE 0 END) OVER w AS r0, max(CASE WHEN note_on THEN k ELSE 0 END) OVER w AS n1, max(CASE WHEN note_off THEN k ELSE 0 END) OVER w AS n0 FROM o WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+nd AS (SELECT page_id, k, CASE WHEN k = 1 THEN x WHEN r1 > r0 THEN '' WHEN n1 > n0 THEN '' WHEN n1 > 0 AND n0 = k THEN substr(x, strpos(x, '-->') + 3) ELSE substr(x, strpos(x, '>') + 1) END AS t FROM st),
+gr AS (SELECT *, regexp_matches(t, '[^ \t\n\r\f\x0b]') AS filled, sum(regexp_matches(t, '[^ \t\n\r\f\x0b]')::INT) OVER (PARTITION BY page_id ORDER BY k) - regexp_matches(t, '[^ \t\n\r\f\x0b]')::INT AS g FROM nd)""".replace("\\t", "\t").replace("\\n", "\n").replace("\\r", "\r").replace("\\f", "\f").replace("\\x0b", "\x0b")
 
 
-@query("html_text", rf"WITH t AS (SELECT page_id, list_filter(regexp_split_to_array(html, '{_NOT_TEXT}'), lambda x: regexp_matches(x, '[^ \t\n\r\f\x0b]')) AS t FROM pages) SELECT page_id, (generate_subscripts(t, 1) - 1)::INT AS idx, unnest(t) AS text FROM t")
+@query("html_text", f"WITH {_NODES} SELECT page_id, g::INT AS idx, string_agg(t, '' ORDER BY k) AS text FROM gr GROUP BY page_id, g HAVING bool_or(filled)")
 def html_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.posexplode(markup.html_text(F.col("html"))).alias("idx", "text"))
@@ -233,9 +261,10 @@ def html_extract(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "x.text", F.size("x.tags").alias("n_tags"))
 
 
-@query("html_tags", r"WITH t AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?i)<!--(?s:.)*?-->|<script\b(?s:.)*?</script\s*>|<style\b(?s:.)*?</style\s*>', '', 'g'), '<([a-zA-Z][a-zA-Z0-9:-]*)', 1) AS t FROM pages) SELECT page_id, (generate_subscripts(t, 1) - 1)::INT AS idx, lower(unnest(t)) AS name FROM t")
+@query("html_tags", f"WITH {_NODES}, b AS (SELECT *, coalesce(sum(octet_length(encode(t))) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM nd JOIN (SELECT page_id, k, x, raw_on, r1, r0, n1, n0 FROM st) USING (page_id, k)) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS idx, lower(regexp_extract(x, '^[a-zA-Z][a-zA-Z0-9:-]*')) AS name, (n + 1)::BIGINT AS s FROM b WHERE k > 1 AND NOT raw_on AND r1 <= r0 AND n1 <= n0 AND regexp_matches(x, '^[a-zA-Z]')")
 def html_tags(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", F.posexplode("x.tags").alias("idx", "t")).select("page_id", "idx", F.col("t.name").alias("name"))
+    """Opened tags and the first byte of what they hold."""
+    return _extracted(spark, sf_dir).select("page_id", F.posexplode("x.tags").alias("idx", "t")).select("page_id", "idx", F.col("t.name").alias("name"), F.col("t.s").alias("s"))
 
 
 @query("html_spans")

@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.kernel import Encoder, Ridge
 from ridgeline.operators.matcher import Matcher
-from ridgeline.operators.tokenizer import FittedTokenizer
+from ridgeline.operators.tokenizer import FittedTokenizer, word_tokens
 
 #: Up to so many n-grams (16 bytes each) a vocabulary is broadcast to a stream's tasks.
 MOST_GRAMS = 4_000_000
 
 
 def tokenize(docs: DataFrame, fitted: FittedTokenizer, key: str = "doc_id", most: int = MOST_GRAMS) -> DataFrame:
-    """(key, cols, vals) of each text (characters only: other modes need tokens): known n-grams and their counts."""
+    """(key, cols, vals) of each text: known n-grams and their counts. Where the mode needs tokens, these are the runs of letters and digits."""
     t = fitted.tokenizer
-    if t.mode != "chars" or t.focus:
-        raise ValueError("streams are tokenized by characters of whole texts")
+    if t.mode == "tags" or t.focus:
+        raise ValueError("streams are tokenized by whole texts, without tags")
     n = fitted.vocab.count()
     if n > most:
         raise ValueError(f"{n} n-grams are too many for a stream; restrict the vocabulary")
@@ -34,7 +34,7 @@ def tokenize(docs: DataFrame, fitted: FittedTokenizer, key: str = "doc_id", most
         for b in batches:
             c, x = [], []
             for text in b.column(1).to_pylist():
-                g, count = np.unique(t.keys(*t.render(text or b"", [], None)), return_counts=True)
+                g, count = np.unique(t.keys(*t.render(text or b"", word_tokens(text or b"") if t.mode != "chars" else [], None)), return_counts=True)
                 p = np.minimum(np.searchsorted(grams, g), max(grams.size - 1, 0))
                 ok = grams[p] == g if grams.size else np.zeros(g.size, bool)
                 c.append(cols[p[ok]] if grams.size else np.zeros(0, np.int32))

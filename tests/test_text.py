@@ -153,8 +153,8 @@ def test_normalize():
 
 
 def test_html(spark):
-    one = spark.createDataFrame([("<p>hello</p> <b>world</b>",), ("before<script>var x=1;</script>after<style>.a{}</style>end",), ("a<!-- comment -->b",), (None,)], "html string")
-    assert [r[0] for r in one.select(markup.html_text(one.html)).collect()] == [["hello", "world"], ["before", "after", "end"], ["a", "b"], None]
+    one = spark.createDataFrame([("<p>hello</p> <b>world</b>",), ("before<script>var x=1;</script>after<style>.a{}</style>end",), ("a<!-- comment -->b",), (None,), (" <p>\n<b> x</b>y</p> ",)], "html string")
+    assert [r[0] for r in one.select(markup.html_text(one.html)).collect()] == [["hello", " world"], ["before", "after", "end"], ["a", "b"], None, [" \n x", "y"]]
     text, tags = markup.extract('hello <span class="author">John</span> world')
     assert text == "hello John world" and len(tags) == 1 and tags[0]["attrs"] == {"class": "author"} and text[tags[0]["s"] - 1 : tags[0]["e"]] == "John"
     assert markup.inject(text, tags) == 'hello <span class="author">John</span> world'

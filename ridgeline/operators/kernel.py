@@ -86,7 +86,8 @@ def landmarks(x: DataFrame, key: str, m: int, code: str | None = None, seed: int
     sizes = x.groupBy(strata).agg(F.count("*").alias("n")).orderBy(strata).collect()
     plan = x.sparkSession.createDataFrame([(r[0], q) for r, q in zip(sizes, quotas([r["n"] for r in sizes], m))], f"_s {dict(x.dtypes)[strata]}, _q int")
     r = F.row_number().over(Window.partitionBy(strata).orderBy(order, key))
-    y = x.withColumn("_r", r)
+    most = max([q for q in quotas([r_["n"] for r_ in sizes], m)], default=0)
+    y = x.withColumn("_r", r).where(F.col("_r") <= most)  # a constant, so that each task sends on no more than so many of a stratum
     return y.join(F.broadcast(plan), y[strata].eqNullSafe(plan["_s"])).where("_r <= _q").drop("_r", "_s", "_q")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.containers import ranked
+
 FLOOR = 1e-6
 
 
@@ -116,6 +118,21 @@ def auc(x: DataFrame, positive: DataFrame, n: int) -> DataFrame:
     return u.select("col", (F.abs(F.col("u") / pairs - 0.5) * 2 if pairs else F.lit(0.0)).alias("w"))
 
 
+def auc_target(x: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """(col, w): 2 |AUC - 1/2| of a target (row, target) for telling the rows that have an entry in a column from the others, by mean ranks of the target."""
+    place = ranked(targets.select("row", "target"), "_k", ["target", "row"])
+    mean = place.groupBy("target").agg((F.avg("_k") + 1).alias("rank"))
+    r = place.join(mean, "target").select("row", "rank")
+    t = x.select("row", "col").distinct().join(r, "row").groupBy("col").agg(F.sum("rank").alias("s"), F.count("*").cast("double").alias("m"))
+    pairs = F.col("m") * (n - F.col("m"))
+    return t.select("col", F.when(pairs > 0, F.abs((F.col("s") - F.col("m") * (F.col("m") + 1) / 2) / pairs - 0.5) * 2).otherwise(0.0).alias("w"))
+
+
+def target_mean(targets: DataFrame) -> DataFrame:
+    """(mean,) of a target (row, target)."""
+    return targets.agg(F.avg(F.col("target").cast("double")).alias("mean"))
+
+
 def colscale(w: DataFrame, exponent: float, floor: float = FLOOR) -> DataFrame:
     """(col, cs): (max(w, floor) / geometric mean) ** exponent."""
     m = F.log(F.greatest(F.col("w"), F.lit(floor)))

@@ -1,4 +1,4 @@
-"""Queries of deciders and metrics. Scores are made of the embeddings' own dimensions: one dimension, one label."""
+"""Queries of deciders and metrics. Scores are made of the embeddings' own dimensions: a label's score is the sum of every tenth of them."""
 
 from __future__ import annotations
 
@@ -15,15 +15,17 @@ def embeddings(spark, sf_dir) -> DataFrame:
 
 
 def scores(spark, sf_dir) -> DataFrame:
-    """(row, label, score): the first ten dimensions as scores of ten labels."""
-    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("row"), F.posexplode(F.slice("embedding", 1, 10)).alias("label", "score")).withColumn("score", F.col("score").cast("double"))
+    """(row, label, score) of ten labels."""
+    each = F.array(*[F.expr(" + ".join(f"embedding[{d}]::double" for d in range(label, 64, 10))) for label in range(10)])
+    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("row"), F.posexplode(each).alias("label", "score"))
 
 
 def expected(spark, sf_dir) -> DataFrame:
     return embeddings(spark, sf_dir).select(F.col("vec_id").alias("row"), F.col("label").cast("int").alias("label"))
 
 
-_S = "s AS (SELECT vec_id AS \"row\", unnest(embedding[1:10])::DOUBLE AS score, (generate_subscripts(embedding[1:10], 1) - 1)::INT AS label FROM embeddings), y AS (SELECT vec_id AS \"row\", label AS gold FROM embeddings), h AS (SELECT s.\"row\", s.label, score, (s.label = gold)::INT AS hit FROM s JOIN y USING (\"row\")), ne AS (SELECT count(*) AS ne FROM y)"
+_EACH = f"[{', '.join(' + '.join(f'embedding[{d + 1}]::DOUBLE' for d in range(label, 64, 10)) for label in range(10))}]"
+_S = f"s AS (SELECT vec_id AS \"row\", unnest({_EACH}) AS score, (generate_subscripts({_EACH}, 1) - 1)::INT AS label FROM embeddings), y AS (SELECT vec_id AS \"row\", label AS gold FROM embeddings), h AS (SELECT s.\"row\", s.label, score, (s.label = gold)::INT AS hit FROM s JOIN y USING (\"row\")), ne AS (SELECT count(*) AS ne FROM y)"
 _SWEEP = f"{_S}, k AS (SELECT *, row_number() OVER w AS k, sum(hit) OVER w AS tp, lead(score) OVER w AS nxt FROM h WINDOW w AS (ORDER BY score DESC, \"row\", label)), b AS (SELECT k, tp, 2 * tp / (k + ne) AS f1, coalesce((score + nxt) / 2, score) AS threshold FROM k, ne ORDER BY f1 DESC, k LIMIT 1)"
 
 

@@ -221,6 +221,24 @@ def agg_label_mean(spark, sf_dir):
     return weights.label_mean(_labels(spark, sf_dir), _n(spark, sf_dir))
 
 
+@query("agg_target_mean", "SELECT round(avg(o_totalprice), 6) AS mean FROM orders")
+def agg_target_mean(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return _rounded(weights.target_mean(o.select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("target"))), "mean")
+
+
+@query(
+    "w_auc_target",
+    f"""WITH {_X}, t AS (SELECT doc_id AS "row", length(text) AS target FROM documents), k AS (SELECT "row", rank() OVER (ORDER BY target NULLS FIRST) + (count(*) OVER (PARTITION BY target) - 1) / 2 AS r FROM t),
+s AS (SELECT col, sum(r) AS s, count(*)::DOUBLE AS m FROM x JOIN k USING ("row") GROUP BY col)
+SELECT col, round(CASE WHEN m < n THEN 2 * abs((s - m * (m + 1) / 2) / (m * (n - m)) - 0.5) ELSE 0 END, 6) AS w FROM s, n""",
+)
+def w_auc_target(spark, sf_dir):
+    """How well a document's length tells those that have a byte from those that haven't."""
+    t = docs(spark, sf_dir).select(F.col("doc_id").alias("row"), F.length("text").alias("target"))
+    return _rounded(weights.auc_target(matrix(spark, sf_dir), t, _n(spark, sf_dir)), "w")
+
+
 @query("w_fit_blocks", f"WITH {_X}, {_SS} SELECT col, round(3 * sqrt(n / sum(ss) OVER ()), 6) AS w FROM ss, n")
 def w_fit_blocks(spark, sf_dir):
     """A block's weights without relevance: one scale for all columns."""

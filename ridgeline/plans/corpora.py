@@ -51,16 +51,36 @@ def _posts(spark, sf_dir) -> DataFrame:
     return f.withColumn("text", F.concat(F.lit("From: me\nTo: you\n\n> quoted\n"), F.coalesce("text", F.lit("")), F.lit("\n--\nme")))
 
 
-@query("src_20newsgroups", f"WITH c AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS label FROM (SELECT DISTINCT lang FROM documents)) SELECT row_number() OVER (ORDER BY md5('5:' || {_PATH}), doc_id) - 1 AS doc_id, label FROM documents JOIN c USING (lang)")
+_CLEAN = r"array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda v: NOT regexp_matches(v, '^[ \t\n\r\f\x0b]*[>|%:]')), chr(10))"
+_CLASSES = "c AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS label FROM (SELECT DISTINCT lang FROM documents))"
+
+
+@query("src_20newsgroups", f"WITH {_CLASSES} SELECT row_number() OVER (ORDER BY md5('5:' || {_PATH}), doc_id) - 1 AS doc_id, label, {_CLEAN} AS text FROM documents JOIN c USING (lang)")
 def src_20newsgroups(spark, sf_dir):
-    return loaders.parse_posts(_posts(spark, sf_dir)).select("doc_id", "label")
+    return loaders.parse_posts(_posts(spark, sf_dir)).select("doc_id", "label", "text")
+
+
+@query("src_20newsgroups_split", f"WITH {_CLASSES}, b AS (SELECT doc_id % 4 > 0 AS train, doc_id, row_number() OVER (PARTITION BY doc_id % 4 > 0 ORDER BY md5('5:' || {_PATH}), doc_id) - 1 AS i, label, {_CLEAN} AS text FROM documents JOIN c USING (lang)) SELECT train::INT AS train, i AS doc_id, label, text FROM b")
+def src_20newsgroups_split(spark, sf_dir):
+    """Posts of a training and a test folder, each numbered by itself."""
+    f = _posts(spark, sf_dir)
+    mine = F.regexp_extract("path", "([0-9]+)[^0-9]*$", 1).cast("long") % 4 > 0
+    a, b = loaders.parse_posts(f.where(mine)), loaders.parse_posts(f.where(~mine))
+    return a.withColumn("train", F.lit(1)).unionByName(b.withColumn("train", F.lit(0))).select("train", "doc_id", "label", "text")
+
 
+_SCRUBBED = r"regexp_replace(regexp_replace({0}, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[A-Za-z0-9]+', '', 'g'), '[A-Za-z0-9-]+\.[A-Za-z0-9-]+\.(?:edu|com|org|net|gov)', '', 'g')"
 
-@query("clean_newsgroup", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda v: NOT regexp_matches(v, '^[ \t\n\r\f\x0b]*[>|%:]')), chr(10)) AS text FROM documents")
+
+@query("clean_newsgroup", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN {_SCRUBBED.format(_CLEAN)} || chr(10) || 'write to  or see , now' ELSE {_CLEAN} END AS text FROM documents")
 def clean_newsgroup(spark, sf_dir):
+    """Posts without an empty line, which are all header; with addresses and a signature; with a signature after another one."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    post = F.concat(F.lit("From: me\nTo: you\n\n> quoted\n"), F.coalesce("text", F.lit("")), F.lit("\n--\nme"))
-    return d.select("doc_id", loaders.clean_post(post).alias("text"))
+    head, body = F.lit("From: me\nTo: you\n"), F.concat(F.lit("\n> quoted\n"), F.coalesce("text", F.lit("")))
+    kind = F.col("doc_id") % 3
+    post = F.when(kind == 0, F.concat(head, F.lit("no line is empty"))).when(kind == 1, F.concat(head, body, F.lit("\nwrite to some.body@some-where.org or see news.some.edu, now\n--\nme"))).otherwise(F.concat(head, body, F.lit("\n--\nme")))
+    scrubbed = kind == 1
+    return d.select("doc_id", F.when(scrubbed, loaders.clean_post(post, addresses=True)).otherwise(loaders.clean_post(post)).alias("text"))
 
 
 @query(
@@ -121,3 +141,9 @@ def src_conll2003_spans(spark, sf_dir):
 def merge_conll2003(spark, sf_dir):
     a = loaders.parse_conll(_conll(spark, sf_dir))
     return loaders.merge_conll(a, a)[0]
+
+
+@query("merge_conll2003_spans", f"WITH {_TEXT}, n AS (SELECT count(*) AS n FROM x), d AS (SELECT doc_id, p_name, text FROM x UNION ALL SELECT doc_id + n, p_name, text FROM x, n) SELECT doc_id, 0::BIGINT AS s, octet_length(encode(p_name))::BIGINT AS e, 0 AS ty FROM d UNION ALL SELECT doc_id, octet_length(encode(p_name)) + 1, octet_length(encode(text)), 2 FROM d")
+def merge_conll2003_spans(spark, sf_dir):
+    a = loaders.parse_conll(_conll(spark, sf_dir))
+    return loaders.merge_conll(a, a)[1]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import BROADCAST_IDS, Work, by_ids, hidden, mix, named, pieces, shared_dir, shingles, text_buffer, units, words
+from ridgeline.llm.common import BROADCAST_IDS, Work, by_ids, hidden, mix, named, pieces, shared_dir, shingles, small_batches, text_buffer, units, words
 from ridgeline.llm.components import components
 
 _DOC_BITS = 20
@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4,
 
     def verified(pairs: DataFrame) -> DataFrame:
         p = work.table(pairs.distinct())
-        return work.table(with_texts(p, texts).mapInArrow(lambda it: _verify(it, k, least), "a long, b long, similarity double"))
+        with small_batches(spark):
+            return work.table(with_texts(p, texts).mapInArrow(lambda it: _verify(it, k, least), "a long, b long, similarity double"))
 
     first = verified(shared.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     label = components(first, work, **cc)

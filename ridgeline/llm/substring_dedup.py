@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, text_buffer, units, words
+from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, small_batches, text_buffer, units, words
 
 _POS = np.uint64((1 << 24) - 1)
 GAP_COST = 0.1  # for each word of either document between two seeds of a chain
@@ -428,7 +428,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     found = found.select("a", "pa", F.explode(every).alias("_o")).select("a", "pa", "_o.b", "_o.pb").where("a <> b")
     found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa").select("b", "a", "pb", "pa")
     chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 20, near), chain))
-    spans = work.table(_aligned(texts, chained, identity))
+    with small_batches(spark):
+        spans = work.table(_aligned(texts, chained, identity))
 
     # short pieces that only together are long enough: another document may hold all of them, and then has seeds of two pieces about as far apart
     parts = work.table(_loose(spans, least, slack))
@@ -448,7 +449,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
             found = links.join(asked, "b").join(there.select("key", F.col("doc").alias("a"), F.col("pos").alias("pa")), ["key", "a"]).select("b", "a", F.col("at").alias("pb"), "pa")
             found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa")
             chained = work.table(found.mapInArrow(lambda it: _chain(it, k, seldom, slack + 20, near, True), chain))
-            spans = work.table(spans.unionAll(_aligned(texts, chained, identity)).distinct())
+            with small_batches(spark):
+                spans = work.table(spans.unionAll(_aligned(texts, chained, identity)).distinct())
             parts = work.table(_loose(spans, least, slack)) if first else None
             if not first or parts.isEmpty():
                 break

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, small_batches, text_buffer, units, words
 
 _POS = np.uint64((1 << 24) - 1)
+SLICE_BYTES = 6 << 20  # text whose seeds are held at a time
 GAP_COST = 0.1  # for each word of either document between two seeds of a chain
 MAX_GAP = 30  # beyond, a seed's words can't pay for the gap
 
@@ -81,20 +82,22 @@ def _numbered(batch: pa.RecordBatch, k: int, window: int) -> tuple[np.ndarray, n
 
 def _occurrences(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seed, doc, pos = _numbered(batch, k, window)
-        yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc), pa.array(pos)], ["key", "doc", "pos"])
+        for part in pieces(batch, most=SLICE_BYTES):
+            seed, doc, pos = _numbered(part, k, window)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc), pa.array(pos)], ["key", "doc", "pos"])
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
-    """The batch's first occurrence of each seed, with the others, if there are any: the rows of a key are one of each batch at most."""
+    """A slice's first occurrence of each seed, with the others, if there are any: the rows of a key are one of each slice at most."""
     for batch in batches:
-        seed, doc, pos = _numbered(batch, k, window)
-        first = np.concatenate([[True], seed[1:] != seed[:-1]]) if seed.size else np.zeros(0, bool)
-        at = np.flatnonzero(first)
-        size = np.diff(np.append(at, seed.size)) - 1
-        others = pa.StructArray.from_arrays([pa.array(doc[~first]), pa.array(pos[~first])], ["b", "pb"])
-        more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), others, mask=pa.array(size == 0))
-        yield pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(doc[at]), pa.array(pos[at]), more], ["key", "b", "pb", "more"])
+        for part in pieces(batch, most=SLICE_BYTES):
+            seed, doc, pos = _numbered(part, k, window)
+            first = np.concatenate([[True], seed[1:] != seed[:-1]]) if seed.size else np.zeros(0, bool)
+            at = np.flatnonzero(first)
+            size = np.diff(np.append(at, seed.size)) - 1
+            others = pa.StructArray.from_arrays([pa.array(doc[~first]), pa.array(pos[~first])], ["b", "pb"])
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), others, mask=pa.array(size == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(doc[at]), pa.array(pos[at]), more], ["key", "b", "pb", "more"])
 
 
 def chains(pb: np.ndarray, pa_: np.ndarray, k: int) -> list[list[int]]:

@@ -22,6 +22,15 @@ def validate(df: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
     return df
 
 
+#: Rows of a short table that are broadcast.
+SHORT = 1_000_000
+
+
+def short(df: DataFrame, most: int = SHORT) -> DataFrame:
+    """`df`, to be broadcast if it has no more rows than that, and else to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spans(df: DataFrame, *more: str) -> DataFrame:
     return validate(df, {"doc_id": (), "s": ("bigint", "int"), "e": ("bigint", "int")} | dict.fromkeys(more, ()))
 

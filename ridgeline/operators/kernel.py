@@ -45,7 +45,9 @@ def sparse_dot(x: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def dense_dot(x: DataFrame, z: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, landmark, dot) of every row of x with every row of z, by array functions; z is small and broadcast."""
+    """(key, landmark, dot) of every row of x with every row of z, by array functions; z is broadcast and has MOST_LANDMARKS rows at most."""
+    if z.count() > MOST_LANDMARKS:
+        raise ValueError(f"at most {MOST_LANDMARKS} landmarks")
     zz = z.select(F.col(key).alias("landmark"), F.col(code).alias("_z"))
     product = F.aggregate(F.zip_with(code, "_z", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     return x.select(key, code).crossJoin(F.broadcast(zz)).select(key, "landmark", product.alias("dot"))

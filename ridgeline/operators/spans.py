@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ON = ["doc_id", "s", "e"]
+MOST_REGIONS = 100_000
 
 
 def numbered(x: DataFrame) -> DataFrame:
@@ -35,7 +36,9 @@ def aligned(x: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def outside(x: DataFrame, regions: DataFrame) -> DataFrame:
-    """Spans that overlap none of the regions (lo, hi), which hold for every document: a short table, broadcast."""
+    """Spans that overlap none of the regions (lo, hi), which hold for every document: a short table, broadcast; a longer one is an error."""
+    if regions.count() > MOST_REGIONS:
+        raise ValueError(f"at most {MOST_REGIONS} regions")
     return x.join(F.broadcast(regions), (F.col("s") < F.col("hi")) & (F.col("e") > F.col("lo")), "left_anti")
 
 

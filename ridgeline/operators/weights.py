@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.containers import ranked
+from ridgeline.containers import ranked, short
 
 FLOOR = 1e-6
 
@@ -95,7 +95,7 @@ def bns(x: DataFrame, labels: DataFrame, n: int, clip: float = 5e-4) -> DataFram
     Rates are clipped to [clip, 1 - clip]. labels: (row, label)."""
     size = labels.groupBy("label").agg(F.count("*").alias("pos"))
     df = x.groupBy("col").agg(F.count("*").alias("df"))
-    t = contingency(x, labels).join(F.broadcast(size), "label").join(df, "col")
+    t = contingency(x, labels).join(short(size), "label").join(df, "col")
     rate = lambda a, b: F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.when(b > 0, a / b).otherwise(0.0)))
     w = F.abs(probit(rate(F.col("tp"), F.col("pos"))) - probit(rate(F.col("df") - F.col("tp"), n - F.col("pos"))))
     return t.groupBy("col").agg(F.max(w).alias("w"))

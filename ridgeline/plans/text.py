@@ -92,7 +92,11 @@ def tok_words_of_spans(spark, sf_dir):
     return Tokenizer(1, mode="words").rows(d, extract.word_spans(d).where("e - s >= 4"))
 
 
-@query("tok_long_grams", f"WITH {_HEX}, b AS (SELECT doc_id, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UHUGEINT) AS b FROM h), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(b) - 7, 1)), lambda i: list_reduce(list_prepend(0::UHUGEINT, b[i:i + 8]), lambda h, x: (h * 11400714819323198485::UHUGEINT + x) % 18446744073709551616::UHUGEINT))) AS x FROM b) SELECT doc_id, {_SIGNED.format('x')} AS gram, count(*)::FLOAT AS val FROM g GROUP BY ALL")
+_POWERS = [pow(tokenizer.BASE, 8 - i, 1 << 64) for i in range(9)]
+_NINE = " + ".join(f"b[i + {i}] * {c}::HUGEINT" for i, c in enumerate(_POWERS))
+
+
+@query("tok_long_grams", f"WITH {_HEX}, b AS (SELECT doc_id, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::HUGEINT) AS b FROM h), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(b) - 7, 1)), lambda i: ({_NINE}) % 18446744073709551616::HUGEINT)) AS x FROM b) SELECT doc_id, (CASE WHEN x >= 9223372036854775808::HUGEINT THEN x - 18446744073709551616::HUGEINT ELSE x END)::BIGINT AS gram, count(*)::FLOAT AS val FROM g GROUP BY ALL")
 def tok_long_grams(spark, sf_dir):
     """Byte n-grams of nine bytes, which are too long to pack: rolling hashes."""
     return tokenizer.raw_counts(docs(spark, sf_dir), 9, 9)

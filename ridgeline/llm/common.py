@@ -66,6 +66,17 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Arrow batches of texts have about so many bytes at most. Spark bounds their rows only, and 10,000 whole texts may be hundreds of MB, several times in the JVM and again in Python.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on this session's Arrow batches have about `most` bytes at most (a longer row comes alone), if its setting allows more. The setting is read
+    when a plan runs, which for a lazy result is after its operator has returned, so it stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's estimate, which is what a broadcast is decided on."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -15,7 +15,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import hidden, lowered, pieces, shingles, text_buffer, words
+from ridgeline.llm.common import bound_batches, hidden, lowered, pieces, shingles, text_buffer, words
 
 K = 2  # words in a shingle
 BLOCKS, BLOCK_BITS = 4, 16
@@ -277,6 +277,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, it
 
 def _shared_anchors(spark: SparkSession, benchmark: DataFrame, least: float, items: int) -> Iterator[Broadcast]:
     """The items' anchors, broadcast, `items` or so at a time."""
+    bound_batches(spark)
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     passes = max(1, -(-own.count() // items))
     for p in range(passes):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import BROADCAST_IDS, Work, by_ids, hidden, mix, named, pieces, shared_dir, shingles, small_batches, text_buffer, units, words
+from ridgeline.llm.common import BROADCAST_IDS, Work, bound_batches, by_ids, hidden, mix, named, pieces, shared_dir, shingles, small_batches, text_buffer, units, words
 from ridgeline.llm.components import components
 
 _DOC_BITS = 20
@@ -135,6 +135,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 40, rows: int = 4,
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    bound_batches(spark)
     work = Work(spark)
     cc = {} if driver_edges is None else {"driver_edges": driver_edges}
     raw, names = units(docs, work)

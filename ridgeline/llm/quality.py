@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import _IS_WORD, _splitmix, by_ids, mix, pieces, text_buffer, words, words_of
+from ridgeline.llm.common import _IS_WORD, _splitmix, bound_batches, by_ids, mix, pieces, text_buffer, words, words_of
 
 _IS_SYMBOL = np.array([33 <= b < 127 and not _IS_WORD[b] for b in range(256)])
 _SYMBOL_BYTE = np.array([_splitmix(b + 1007) if _IS_SYMBOL[b] else 0 for b in range(256)], np.uint64)
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, latent: int = 48
     own = own.groupBy("doc_id").agg(F.max("kind").alias("kind"))
     chosen = pd.concat([own.where(F.col("kind") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // (4 if c else 2)).toPandas() for c in range(3)])  # the first of each task, merged
     spark = docs.sparkSession
+    bound_batches(spark)
     ids = spark.createDataFrame(chosen[["doc_id"]].astype("int64"), "doc_id long")
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h")).where("text IS NOT NULL"), ids, "left_semi")
     t = texts.mapInArrow(_sample_terms, "doc_id long, h long, terms array<long>").toArrow().combine_chunks()

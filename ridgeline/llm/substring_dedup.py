@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Work, by_ids, hidden, mix, named, pieces, shared_dir, small_batches, text_buffer, units, words
+from ridgeline.llm.common import Work, bound_batches, by_ids, hidden, mix, named, pieces, shared_dir, small_batches, text_buffer, units, words
 
 _POS = np.uint64((1 << 24) - 1)
 SLICE_BYTES = 6 << 20  # text whose seeds are held at a time
@@ -419,6 +419,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    bound_batches(spark)
     work = Work(spark)
     texts, names = units(docs, work)
     seldom = max(window, least // 5)  # for pieces, fewer seeds will do

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 from ridgeline.llm import decontamination, near_dedup, quality, substring_dedup
@@ -77,3 +78,22 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, folder):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(0, 500, 1, 1).selectExpr("id", "repeat('many words ', 10000) AS text")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        spark.conf.unset(key)
+        stage(spark, docs, folder)
+        got = long.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 500 and max(r.bytes for r in got) < (4 << 20) + 200_000, name
+    spark.conf.set(key, "100000")  # a narrower setting stays
+    corpus_pipeline.STAGES[0][1](spark, docs, folder)
+    assert spark.conf.get(key) == "100000"
+    spark.conf.unset(key)

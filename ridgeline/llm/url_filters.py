@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
+import pkgutil
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -23,16 +21,9 @@ _NUMBERS = "^[0-9.]+$"
 
 @cache
 def public_suffixes() -> tuple[str, ...]:
-    """The registries' rules of more than one label of the public suffix list that Spark's own libraries bring along (x.y, *.x and !a.x)."""
-    import pyspark
-
-    for jar in sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient-*.jar"))):
-        with zipfile.ZipFile(jar) as z:
-            if "mozilla/public-suffix-list.txt" in z.namelist():
-                registries = z.read("mozilla/public-suffix-list.txt").decode().split("===BEGIN PRIVATE DOMAINS===")[0]
-                rules = (line.split()[0] for line in registries.splitlines() if line.strip() and not line.startswith("//"))
-                return tuple(sorted({r for r in rules if "." in r and "'" not in r}))
-    raise RuntimeError("Spark's libraries hold no public suffix list: give the rules")
+    """The registries' rules of more than one label of the public suffix list (x.y, *.x and !a.x). They lie beside this file: not every Spark has the library that brings them along."""
+    text = pkgutil.get_data(__package__, "public_suffixes.txt").decode()
+    return tuple(line for line in text.splitlines() if line and not line.startswith("//"))
 
 
 def _host_sql(url: str) -> str:

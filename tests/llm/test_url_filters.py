@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from ridgeline.llm.url_filters import host_reputation, registered, url_filter, url_filter_sql
+from ridgeline.llm.url_filters import host_reputation, public_suffixes, registered, url_filter, url_filter_sql
 
 COLUMNS = ["page_id", "host", "domain", "suffix", "n_labelled", "n_good", "posterior_mean", "upper_bound", "keep"]
 
@@ -50,3 +50,13 @@ def test_registered_domains_follow_the_public_list(spark):
     known = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.c.kawasaki.jp": ("c.kawasaki.jp", "b.c.kawasaki.jp"), "x.city.kawasaki.jp": ("kawasaki.jp", "city.kawasaki.jp"), "x.www.ck": ("ck", "www.ck"), "a.b.ck": ("b.ck", "a.b.ck"), "lone": ("lone", "lone"), "a.unknown": ("unknown", "a.unknown"), "1.2.3.4": ("1.2.3.4", "1.2.3.4")}
     got = {r.host: (r.suffix, r.domain) for r in registered(spark.createDataFrame([(h,) for h in known], "host string")).collect()}
     assert got == known
+
+
+def test_the_suffix_list_needs_no_library_of_sparks(monkeypatch):
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "__file__", "/nowhere/pyspark/__init__.py")
+    public_suffixes.cache_clear()
+    rules = public_suffixes()
+    assert {"co.uk", "*.kawasaki.jp", "!city.kawasaki.jp"} <= set(rules) and all("." in r and "'" not in r for r in rules)
+    assert "co.uk" in url_filter_sql()

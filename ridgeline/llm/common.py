@@ -7,7 +7,7 @@ A word's hash is 64 bits and depends on its bytes alone, so it is the same on ev
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -44,16 +44,36 @@ class Work:
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame) -> DataFrame:
+        return self.tables([df])
+
+    def tables(self, parts: Iterable[DataFrame]) -> DataFrame:
+        """One table of all parts, which have one schema: they run one after another, and the shuffle files of each go before the next one runs."""
         self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path, schema = f"{self.path}/{self.n}", None
+        for df in parts:
+            schema = schema or df.schema
+            with released(self.spark):
+                df.write.mode("append").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a query's shuffle files go when it ends, rather than when the driver happens to collect its garbage: an operator then holds those of
+    one step at a time. Each write plans its query anew, so nothing reads them later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """While it lasts, Arrow batches have at most so many rows: for rows of two whole texts, which may be long, so that a batch fits in memory."""

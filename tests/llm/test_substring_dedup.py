@@ -1,9 +1,13 @@
+import gc
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 
 from ridgeline.llm import substring_dedup as sd
+from ridgeline.llm.common import Work
 
 
 def prose(n, seed):
@@ -137,3 +141,21 @@ def test_awkward_rows(spark, awkward):
     cut = sd.without_passages(long.unionByName(awkward), sd.repeated_passages(long.unionByName(awkward)))
     assert cut.columns == awkward.columns and cut.where("doc_id = 20").count() == 0 and cut.count() == awkward.count() + 1
     assert sd.repeated_passages(awkward.where("false")).count() == 0
+
+
+def _shuffle_files(spark):
+    return sum(len(names) for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(p) for names in [[n for n in names if n.startswith("shuffle_")]])
+
+
+def test_a_work_table_leaves_no_shuffle_files(spark):
+    work = Work(spark)
+    gc.collect()
+    before = _shuffle_files(spark)
+    out = work.table(spark.range(1000).selectExpr("id % 100 AS k").repartition(7, "k"))
+    for _ in range(50):  # they are removed in the background
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert out.count() == 1000
+    work.drop()

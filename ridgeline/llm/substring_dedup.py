@@ -297,6 +297,20 @@ def _aligned(texts: DataFrame, chained: DataFrame, identity: float) -> DataFrame
     return pairs.mapInArrow(lambda it: _align(it, identity), "b long, a long, hash long, first long, last long, byte_first long, byte_last long")
 
 
+#: Bytes of text that pairs may bring to one round of alignment, as a multiple of all texts', and at least.
+ROUND_SHARE, ROUND_LEAST = 3.0, 1 << 28
+
+
+def _rounds(texts: DataFrame, chained: DataFrame, work: Work, least: int = ROUND_LEAST) -> list[DataFrame]:
+    """`chained` in parts by b. Every pair takes the text of its a along, and pairs become more faster than documents do; a part's texts are no more
+    than about thrice all texts, so that the disk of a round follows the input."""
+    size = work.table(texts.select(F.col("doc_id").alias("a"), F.octet_length("text").cast("long").alias("n")).groupBy("a").agg(F.max("n").alias("n")))
+    whole = size.agg(F.sum("n")).first()[0] or 0
+    taken = chained.join(size, "a").agg(F.sum("n")).first()[0] or 0
+    n = -(-taken // max(int(ROUND_SHARE * whole), least))
+    return [chained.where(F.pmod(F.xxhash64("b"), F.lit(n)) == i) for i in range(n)] if n > 1 else [chained]
+
+
 def _islands(spans: DataFrame, slack: int) -> DataFrame:
     """`spans` with the number of the group of overlapping or touching ones of its document."""
     w = Window.partitionBy("b").orderBy("first", "last", "a")
@@ -433,7 +447,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
     found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa").select("b", "a", "pb", "pa")
     chained = work.table(found.mapInArrow(lambda it: _chain(it, k, window, slack + 20, near), chain))
     with small_batches(spark):
-        spans = work.table(_aligned(texts, chained, identity))
+        spans = work.tables(_aligned(texts, part, identity) for part in _rounds(texts, chained, work))
 
     # short pieces that only together are long enough: another document may hold all of them, and then has seeds of two pieces about as far apart
     parts = work.table(_loose(spans, least, slack))
@@ -454,7 +468,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
             found = found.repartition("b").sortWithinPartitions("b", "a", "pb", "pa")
             chained = work.table(found.mapInArrow(lambda it: _chain(it, k, seldom, slack + 20, near, True), chain))
             with small_batches(spark):
-                spans = work.table(spans.unionAll(_aligned(texts, chained, identity)).distinct())
+                more = work.tables(_aligned(texts, part, identity) for part in _rounds(texts, chained, work))
+                spans = work.table(spans.unionAll(more).distinct())
             parts = work.table(_loose(spans, least, slack)) if first else None
             if not first or parts.isEmpty():
                 break

@@ -159,3 +159,15 @@ def test_a_work_table_leaves_no_shuffle_files(spark):
     assert _shuffle_files(spark) <= before
     assert out.count() == 1000
     work.drop()
+
+
+def test_rounds_hold_every_pair_once_and_bounded_texts(spark):
+    texts = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "doc_id long, text string")
+    chained = spark.createDataFrame([(b, a, [0, 6, 0]) for b in range(20) for a in range(b)], "b long, a long, parts array<int>")
+    work = Work(spark)
+    parts = sd._rounds(texts, chained, work, least=1)
+    assert len(parts) == 4  # 190 texts of pairs, 20 texts in all
+    assert sorted((r.b, r.a) for p in parts for r in p.collect()) == sorted((r.b, r.a) for r in chained.collect())
+    assert max(p.count() for p in parts) < 120
+    assert len(sd._rounds(texts, chained, work)) == 1
+    work.drop()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ridgeline.operators import passes
 
 _AL = "A-Za-z0-9"
 _WS = r" \t\n\r\x0b\x0c"
@@ -27,30 +28,35 @@ WORD = [("word", f"[{_AL}]+")]
 def extract(docs: DataFrame, patterns: list[tuple[str | None, str]], key: str = "doc_id") -> DataFrame:
     """(key, idx, s, e, ty): spans in bytes; ty is the place of the pattern's name among the named ones, their number for patterns without a name.
     Empty matches don't count. Null texts have no spans. Row by row, without a shuffle."""
+    find = finder(patterns)
+
+    def run(text: bytes, known: bool) -> list[np.ndarray]:
+        found = np.array(find(text), np.int64).reshape(-1, 3)
+        return [np.arange(len(found)), found[:, 0], found[:, 1], found[:, 2]]
+
+    return passes.each(docs, run, "idx int, s long, e long, ty int", key)
+
+
+def finder(patterns: list[tuple[str | None, str]]) -> Callable[[bytes], list[tuple[int, int, int]]]:
+    """The function that gives (s, e, ty) of a text's spans."""
     names = [n for n, _ in patterns if n is not None]
     kinds = [len(names) if n is None else names.index(n) for n, _ in patterns]
-    source = "|".join(f"({p})" for _, p in patterns).encode()
-    if re.compile(source).groups != len(patterns):
+    source = re.compile("|".join(f"({p})" for _, p in patterns).encode())
+    if source.groups != len(patterns):
         raise ValueError("patterns mustn't hold groups of their own; use (?:...)")
-    kind = dict(docs.dtypes)[key]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(source)
-        for b in batches:
-            at, idx, s, e, ty = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                n = 0
-                for m in find.finditer(t or b""):
-                    if m.end() > m.start():
-                        at.append(i), idx.append(n), s.append(m.start()), e.append(m.end()), ty.append(kinds[m.lastindex - 1])
-                        n += 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(idx, pa.int32()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(ty, pa.int32())], [key, "idx", "s", "e", "ty"])
+    def find(text: bytes) -> list[tuple[int, int, int]]:
+        return [(*m.span(), kinds[m.lastindex - 1]) for m in source.finditer(text) if m.end() > m.start()]
 
-    return docs.select(key, F.encode(F.col("text"), "utf-8").alias("text")).mapInArrow(run, f"{key} {kind}, idx int, s long, e long, ty int")
+    return find
 
 
 def word_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return extract(docs, WORD, key).drop("ty")
+    def run(text: bytes, known: bool) -> list[np.ndarray]:
+        w = passes.words(text)
+        return [w.idx, w.s, w.e]
+
+    return passes.each(docs, run, "idx int, s long, e long", key)
 
 
 def shape_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.normalize import fold, fold_with_offsets
+from ridgeline.operators import passes
 
 Match = tuple[int, int, int]  # s, e, id
+#: Texts whose matches are held at a time.
+TEXTS = 256
 
 
 @dataclass(frozen=True)
@@ -88,9 +91,12 @@ class Matcher:
             found = kept
         return found, hit
 
-    def _run(self, docs: DataFrame, tokens: DataFrame | None, exclude, longest: bool, key: str, emit, schema: str) -> DataFrame:
+    def _run(self, docs: DataFrame, tokens: DataFrame | str | None, exclude, longest: bool, key: str, emit, schema: str) -> DataFrame:
         x = docs.select(key, F.encode(F.col("text"), "utf-8").alias("text"))
-        if tokens is not None:
+        found = isinstance(tokens, str)
+        if found and tokens != "words":
+            raise ValueError(f"no tokens {tokens}")
+        if tokens is not None and not found:
             t = tokens.groupBy(key).agg(F.collect_set(F.struct(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))).alias("tokens"))
             x = x.join(t, key, "left").select(key, "text", F.coalesce("tokens", F.array().cast("array<struct<s:long,e:long>>")).alias("tokens"))
         own = x.sparkSession.sparkContext.broadcast(self)  # patterns; each worker builds its automaton
@@ -98,16 +104,26 @@ class Matcher:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = own.value.automaton()
-            for b in batches:
-                texts = b.column(1).to_pylist()
-                toks = b.column(2).to_pylist() if by_tokens else [None] * len(texts)
-                results = [own.value.filtered(own.value.matches(a, t or b""), None if k is None else [(p["s"], p["e"]) for p in k], regions, longest) for t, k in zip(texts, toks)]
-                yield emit(b.column(0), texts, results)
+            for whole in batches:
+                for at in range(0, whole.num_rows, TEXTS):
+                    b = whole.slice(at, TEXTS)
+                    texts = b.column(1).to_pylist()
+                    if found:
+                        toks = [words(t) if k.is_valid else [] for k, t in zip(b.column(0), texts)]
+                    else:
+                        toks = [[(p["s"], p["e"]) for p in k] for k in b.column(2).to_pylist()] if by_tokens else [None] * len(texts)
+                    results = [own.value.filtered(own.value.matches(a, t or b""), k, regions, longest) for t, k in zip(texts, toks)]
+                    yield emit(b.column(0), texts, results)
+
+        def words(text: bytes | None) -> list[tuple[int, int]]:
+            w = passes.words(text or b"")
+            return list(zip(w.s.tolist(), w.e.tolist()))
 
         return x.mapInArrow(run, schema)
 
-    def predict(self, docs: DataFrame, longest: bool = False, exclude: list[tuple[int, int]] | None = None, tokens: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-        """(key, idx, id, s, e). exclude: regions (lo, hi) of every text; tokens: (key, s, e), whose bounds matches must have."""
+    def predict(self, docs: DataFrame, longest: bool = False, exclude: list[tuple[int, int]] | None = None, tokens: DataFrame | str | None = None, key: str = "doc_id") -> DataFrame:
+        """(key, idx, id, s, e). exclude: regions (lo, hi) of every text; tokens: (key, s, e), whose bounds matches must have, or "words"
+        for the runs of letters and digits, which are found in the same pass."""
         kind = dict(docs.dtypes)[key]
 
         def emit(ids, texts, results):
@@ -117,7 +133,7 @@ class Matcher:
 
         return self._run(docs, tokens, exclude, longest, key, emit, f"{key} {kind}, idx int, id long, s long, e long")
 
-    def exclude_hits(self, docs: DataFrame, exclude: list[tuple[int, int]], tokens: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    def exclude_hits(self, docs: DataFrame, exclude: list[tuple[int, int]], tokens: DataFrame | str | None = None, key: str = "doc_id") -> DataFrame:
         """(region, hit): 1 for each region that took a match out in some text. A match counts for the first region it overlaps."""
 
         def emit(ids, texts, results):
@@ -128,7 +144,7 @@ class Matcher:
         every = docs.sparkSession.createDataFrame([(k,) for k in range(len(exclude))], "region int")
         return every.join(hit, "region", "left").select("region", F.coalesce("_h", F.lit(0)).alias("hit"))
 
-    def tag(self, docs: DataFrame, fmt: str, longest: bool = True, exclude: list[tuple[int, int]] | None = None, tokens: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    def tag(self, docs: DataFrame, fmt: str, longest: bool = True, exclude: list[tuple[int, int]] | None = None, tokens: DataFrame | str | None = None, key: str = "doc_id") -> DataFrame:
         """(key, text): each match replaced by the format: %match, %name, %id, and with an h before them the same escaped for HTML; %% is a
         percent sign unless it ends the format. Null texts stay null."""
         kind = dict(docs.dtypes)[key]

@@ -210,24 +210,47 @@ def nms(x: DataFrame) -> DataFrame:
 
 def _steps(t: pa.Table) -> pa.Table:
     """(theta, d_tp, d_pred): how a document's counts change at each of its breakpoints."""
-    s, e, ty = (t.column(c).to_numpy() for c in ("s", "e", "ty"))
+    s, e = (t.column(c).to_numpy() for c in ("s", "e"))
     best = t.column("best").to_numpy(zero_copy_only=False)
     second = t.column("second").to_numpy(zero_copy_only=False).astype(float)
     rejected = t.column("rejected").to_numpy(zero_copy_only=False)
     hit = t.column("hit").to_numpy()
-    point = rejected - best
-    rows, tp, pred = [], 0, 0
-    for at in np.unique(point):
-        theta = np.nextafter(at, INF)
-        on = np.flatnonzero(point <= at)
-        r = rejected[on] - theta
-        w = best[on] - np.fmax(second[on], r)
-        keep = on[schedule(s[on], e[on], np.maximum(w, 1e-300))]
-        new_tp, new_pred = int(hit[keep].sum()), keep.size
-        if (new_tp, new_pred) != (tp, pred):
-            rows.append((float(at), new_tp - tp, new_pred - pred))
-            tp, pred = new_tp, new_pred
-    return pa.table({"theta": pa.array([r[0] for r in rows], pa.float64()), "d_tp": pa.array([r[1] for r in rows], pa.int64()), "d_pred": pa.array([r[2] for r in rows], pa.int64())})
+    at, (tp, pred) = np.unique(rejected - best), _decoded(s, e, best, second, rejected, hit)
+    d_tp, d_pred = np.diff(tp, prepend=0), np.diff(pred, prepend=0)
+    new = (d_tp != 0) | (d_pred != 0)
+    return pa.table({"theta": pa.array(at[new], pa.float64()), "d_tp": pa.array(d_tp[new], pa.int64()), "d_pred": pa.array(d_pred[new], pa.int64())})
+
+
+#: Candidates times offsets that are decoded at a time.
+CELLS = 1 << 23
+
+
+def _decoded(s: np.ndarray, e: np.ndarray, best: np.ndarray, second: np.ndarray, rejected: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hits and spans among what `schedule` chooses just above each of a document's breakpoints. Weights change with the offset, so every candidate is looked
+    at for each of them: all offsets of a block at once, candidate by candidate, with the counts of the choice carried along."""
+    order = np.lexsort((s, e))
+    n = order.size
+    before = np.minimum(np.searchsorted(e[order], s[order], "right"), np.arange(n)).tolist()
+    best, second, rejected, hit = best[order], second[order], rejected[order], hit[order].tolist()
+    at = np.unique(rejected - best)
+    point = (rejected - best).tolist()
+    out: tuple[list, list] = ([], [])
+    for lo in range(0, at.size, step := max(1, CELLS // (n + 1))):
+        own = at[lo : lo + step]
+        theta = np.nextafter(own, INF)
+        first = np.searchsorted(own, point).tolist()
+        top, tp, pred = (np.zeros((n + 1, own.size), kind) for kind in (float, np.int32, np.int32))
+        for i, (j, k) in enumerate(zip(before, first)):
+            top[i + 1], tp[i + 1], pred[i + 1] = top[i], tp[i], pred[i]
+            if k < own.size:
+                new = top[j, k:] + np.maximum(best[i] - np.fmax(second[i], rejected[i] - theta[k:]), 1e-300)
+                taken = new > top[i, k:]
+                np.copyto(top[i + 1, k:], new, where=taken)
+                np.copyto(tp[i + 1, k:], tp[j, k:] + hit[i], where=taken, casting="unsafe")
+                np.copyto(pred[i + 1, k:], pred[j, k:] + 1, where=taken)
+        out[0].append(tp[n].astype(np.int64))
+        out[1].append(pred[n].astype(np.int64))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
 def span_offset(margins: DataFrame, cand: DataFrame, gold: DataFrame) -> float:
